@@ -6,6 +6,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def assignment(a: list, b: list) -> int:
@@ -22,7 +23,7 @@ def assignment(a: list, b: list) -> int:
     return max(len(a), len(b)) - same
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def binding_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else assignment(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
@@ -76,7 +77,7 @@ def single_statement(sql: str | None) -> bool:
     return seen and not depth
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_single_statement(s: pd.Series) -> pd.Series:
     return s.map(single_statement)
 
@@ -89,7 +90,7 @@ def canonical_json(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical(s: pd.Series) -> pd.Series:
     return s.map(canonical_json)
 
@@ -105,7 +106,7 @@ def compiles(code: str | None) -> bool:
     return True
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def code_compiles(s: pd.Series) -> pd.Series:
     return s.map(compiles)
 
@@ -122,6 +123,6 @@ def spans_of(text: str | None, needle: str | None) -> list[tuple[int, int]]:
     return [(words[i][1], words[i + k - 1][2]) for i in range(len(words) - k + 1) if k and [w[0] for w in words[i : i + k]] == want]
 
 
-@F.pandas_udf("array<struct<start:int,stop:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("stop", T.IntegerType())))
 def matching_spans(text: pd.Series, needle: pd.Series) -> pd.Series:
     return pd.Series([[{"start": a, "stop": b} for a, b in spans_of(x, y)] for x, y in zip(text, needle, strict=True)])

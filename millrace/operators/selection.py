@@ -42,21 +42,24 @@ def _per_group(df: DataFrame, group: list[str], fn, schema: str) -> DataFrame:
 
 def knapsack(df: DataFrame, group: list[str], budget: float, limit: int) -> DataFrame:
     """By value over cost, skipping what doesn't fit, at most `limit` items; if one item alone is worth more, that one.
-    Groups are packages of a bounded size."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf[pdf["cost"] <= budget].sort_values(["id"])
-        d = d.assign(r=-d["value"] / d["cost"].clip(lower=1e-12)).sort_values(["r", "id"], kind="stable")
-        spent, keep = 0.0, []
-        for i, c in zip(d.index, d["cost"], strict=True):
-            if spent + c <= budget and len(keep) < limit:
-                spent += c
-                keep.append(i)
-        got = d.loc[keep]
-        best = d.sort_values(["value", "id"], ascending=[False, True]).head(1)
-        return (best if len(best) and float(best["value"].iloc[0]) > float(got["value"].sum()) else got)[pdf.columns]
-
-    return _per_group(df, group, pick, df.schema.simpleString()[7:-1].replace(":", " "))
+    Groups are packages of a bounded size: a group's (id, value, cost) are one row, and many rows are one batch."""
+    item = F.struct(F.col("id").cast("long").alias("id"), F.col("value").cast("double").alias("value"), F.col("cost").cast("double").alias("cost"))
+    rows = df.where(F.col("cost") <= budget).groupBy(*group).agg(F.collect_list(item).alias("__items"))
+
+    @F.pandas_udf("array<long>")
+    def pick(s: pd.Series) -> pd.Series:
+        out = []
+        for items in s:
+            spent, keep, worth = 0.0, [], 0.0
+            for r in sorted(items, key=lambda r: (-r["value"] / max(r["cost"], 1e-12), r["id"])):
+                if spent + r["cost"] <= budget and len(keep) < limit:
+                    spent, worth = spent + r["cost"], worth + r["value"]
+                    keep.append(r["id"])
+            best = min(items, key=lambda r: (-r["value"], r["id"]))
+            out.append([best["id"]] if best["value"] > worth else keep)
+        return pd.Series(out)
+
+    return rows.select(*group, F.explode(pick("__items")).alias("id"))
 
 
 def facility_location(df: DataFrame, group: list[str], vector: str, budget: float) -> DataFrame:
@@ -139,7 +142,7 @@ def self_consistent(df: DataFrame, item: str, value: str, samples: int, toleranc
 
 def preference_pairs(df: DataFrame, prompt: str, answer: str, right: Column, order: str, per_prompt: int = 2) -> DataFrame:
     """Distinct wrong answers of a prompt, first seen first, at most `per_prompt`, each with the prompt's first right one."""
-    good = df.where(right).groupBy(prompt).agg(F.min_by(answer, order).alias("chosen"))
+    good = df.where(right).groupBy(prompt).agg(F.min_by(answer, F.struct(order, answer)).alias("chosen"))
     bad = df.where(~right).groupBy(prompt, answer).agg(F.min(order).alias("__o"))
     w = Window.partitionBy(prompt).orderBy("__o", answer)
     bad = bad.withColumn("pair", F.row_number().over(w)).where(F.col("pair") <= per_prompt).select(prompt, F.col(answer).alias("rejected"), "pair")

@@ -122,9 +122,9 @@ def agg18(t):
     return G.cluster_mean(d, "source", "d").withColumn("mean", F.round("mean", 6)).withColumn("least_without_one", F.round("least_without_one", 6))
 
 
-@query("agg19_seed_pooling", "SELECT o_custkey, o_orderpriority, round(avg(o_totalprice), 2) AS mean FROM orders GROUP BY ALL")
+@query("agg19_seed_pooling", "SELECT o_custkey, o_orderpriority, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY ALL")
 def agg19(t):
-    return t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.round(F.avg("o_totalprice"), 2).alias("mean"))
+    return t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.round(F.avg("o_totalprice"), 6).alias("mean"))
 
 
 @query("agg20_pair_accuracy", "SELECT l_orderkey, bool_and(l_linestatus = 'F') AS both_right, count(*) AS sides FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey HAVING count(*) = 2")
@@ -164,18 +164,19 @@ def agg24(t):
     return t.lineitem.groupBy(F.least(F.col("l_linenumber").cast("long"), F.lit(5)).alias("depth")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_orderkey").alias("tasks"))
 
 
-@query("agg25_cost_shares", "SELECT l_orderkey, l_linenumber, round(o_totalprice / count(*) OVER (PARTITION BY l_orderkey), 4) AS share FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("agg25_cost_shares", "SELECT l_orderkey, l_linenumber, round(o_totalprice / count(*) OVER (PARTITION BY l_orderkey), 6) AS share FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def agg25(t):
     j = t.lineitem.select("l_orderkey", "l_linenumber").join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey")
-    return G.cost_shares(j, "l_orderkey", "o_totalprice").select("l_orderkey", "l_linenumber", F.round("share", 4).alias("share"))
+    return G.cost_shares(j, "l_orderkey", "o_totalprice").select("l_orderkey", "l_linenumber", F.round("share", 6).alias("share"))
 
 
 @query("agg26_apportion", """
-WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(1000 * CAST(l_quantity AS BIGINT) / sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey)) AS BIGINT) AS s FROM lineitem)
-SELECT l_orderkey, l_linenumber, (s + (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) <= 1000 - sum(s) OVER (PARTITION BY l_orderkey))::INT)::BIGINT AS tokens FROM s""")
+WITH s AS (SELECT l_orderkey, l_linenumber, CAST(floor(1000 * CAST(l_quantity AS BIGINT) / sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey)) AS BIGINT) AS s, l_partkey, l_suppkey, l_extendedprice FROM lineitem)
+SELECT l_orderkey, l_linenumber, (s + (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) <= 1000 - sum(s) OVER (PARTITION BY l_orderkey))::INT)::BIGINT AS tokens FROM s""")
 def agg26(t):
-    d = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("w"))
-    return G.apportion(d, ["l_orderkey"], [F.col("l_linenumber")], "w", F.lit(1000), "tokens").drop("w")
+    tie = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    d = t.lineitem.select("l_orderkey", *tie, F.col("l_quantity").cast("long").alias("w"))
+    return G.apportion(d, ["l_orderkey"], [F.col(c) for c in tie], "w", F.lit(1000), "tokens").select("l_orderkey", "l_linenumber", "tokens")
 
 
 @query("agg27_nested_mass", """
@@ -200,11 +201,11 @@ def agg29(t):
 
 
 @query("agg31_official_metrics", """
-WITH p AS (SELECT l_orderkey, avg(l_discount) AS m FROM lineitem GROUP BY 1) SELECT round(100 * avg(l_discount), 4) AS reward, (SELECT round(avg(m), 6) FROM p) AS pass_one, count(*) - count(DISTINCT l_partkey) AS repeated FROM lineitem""")
+WITH p AS (SELECT l_orderkey, avg(l_discount) AS m FROM lineitem GROUP BY 1) SELECT round(100 * avg(l_discount), 6) AS reward, (SELECT round(avg(m), 6) FROM p) AS pass_one, count(*) - count(DISTINCT l_partkey) AS repeated FROM lineitem""")
 def agg31(t):
     l = t.lineitem  # noqa: E741
     one = l.groupBy("l_orderkey").agg(F.avg("l_discount").alias("m")).agg(F.round(F.avg("m"), 6).alias("pass_one"))
-    return l.agg(F.round(100 * F.avg("l_discount"), 4).alias("reward"), (F.count(F.lit(1)) - F.countDistinct("l_partkey")).alias("repeated")).crossJoin(one)
+    return l.agg(F.round(100 * F.avg("l_discount"), 6).alias("reward"), (F.count(F.lit(1)) - F.countDistinct("l_partkey")).alias("repeated")).crossJoin(one)
 
 
 @query("agg32_matrix", """

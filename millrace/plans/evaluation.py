@@ -105,13 +105,13 @@ def subspace(t):
 
 @query("stat_softmax_entropy", """
 WITH s AS (SELECT o_custkey, o_orderkey, o_totalprice / 100000 AS x, max(o_totalprice / 100000) OVER w AS m FROM orders WINDOW w AS (PARTITION BY o_custkey)), p AS (SELECT o_custkey, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY o_custkey) AS p FROM s)
-SELECT o_custkey, round(-sum(p * ln(p)), 5) AS entropy FROM p GROUP BY o_custkey""")
+SELECT o_custkey, round(-sum(p * ln(p)), 5) + 0.0 AS entropy FROM p GROUP BY o_custkey""")
 def softmax(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey")
     s = t.orders.select("o_custkey", (F.col("o_totalprice") / 100000).alias("x")).withColumn("e", F.exp(F.col("x") - F.max("x").over(w)))
-    return s.withColumn("p", F.col("e") / F.sum("e").over(w)).groupBy("o_custkey").agg(F.round(-F.sum(F.col("p") * F.ln("p")), 5).alias("entropy"))
+    return s.withColumn("p", F.col("e") / F.sum("e").over(w)).groupBy("o_custkey").agg((F.round(-F.sum(F.col("p") * F.ln("p")), 5) + 0.0).alias("entropy"))
 
 
 @query("stat_pair_margins", """

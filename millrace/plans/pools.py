@@ -30,9 +30,9 @@ def jn3(t):
 
 
 @query("jn4_first_failure", """
-SELECT o_orderkey, f.part AS first_returned FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(l_partkey, l_linenumber) AS part FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) f ON o_orderkey = l_orderkey""")
+SELECT o_orderkey, f.part AS first_returned FROM orders LEFT JOIN (SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 100000000 + l_partkey) AS part FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) f ON o_orderkey = l_orderkey""")
 def jn4(t):
-    f = J.first_match(t.lineitem, ["l_orderkey"], ["l_linenumber"], "l_partkey", F.col("l_returnflag") == "R", "first_returned")
+    f = J.first_match(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey", F.col("l_returnflag") == "R", "first_returned")
     return t.orders.select("o_orderkey").join(f, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "first_returned")
 
 
@@ -62,7 +62,7 @@ def jn8(t):
 
 @query("jn9_or_join", """
 WITH p AS (SELECT s_suppkey AS id, s_nationkey AS n, CAST(floor(s_acctbal / 50) AS BIGINT) AS b FROM supplier)
-SELECT a.id AS left_id, b.id AS right_id, array_to_string(list_filter([CASE WHEN a.b = b.b THEN 'b=b' END, CASE WHEN a.n = b.n THEN 'n=n' END], x -> x IS NOT NULL), ',') AS via FROM p a JOIN p b ON a.id < b.id AND (a.n = b.n OR a.b = b.b)""")
+SELECT a.id AS left_id, b.id AS right_id, array_to_string(list_filter([CASE WHEN a.b = b.b THEN 'b=b' END, CASE WHEN a.n = b.n THEN 'n=n' END], lambda x: x IS NOT NULL), ',') AS via FROM p a JOIN p b ON a.id < b.id AND (a.n = b.n OR a.b = b.b)""")
 def jn9(t):
     p = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n"), F.floor(F.col("s_acctbal") / 50).alias("b"))
     return J.or_join(p, p, [("n", "n"), ("b", "b")], ("id", "id"))
@@ -183,9 +183,9 @@ def pool1(t):
 
 
 @query("pool2_negatives", """
-WITH n AS (SELECT l_orderkey, arg_min(l_partkey, l_linenumber) AS rejected FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderkey AS task_id, o_custkey AS response, rejected FROM orders LEFT JOIN n ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+WITH n AS (SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 100000000 + l_partkey) AS rejected FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderkey AS task_id, o_custkey AS response, rejected FROM orders LEFT JOIN n ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
 def pool2(t):
-    n = J.first_match(t.lineitem, ["l_orderkey"], ["l_linenumber"], "l_partkey", F.col("l_returnflag") == "R", "rejected").withColumnRenamed("l_orderkey", "task_id")
+    n = J.first_match(t.lineitem, ["l_orderkey"], ["l_linenumber", "l_partkey"], "l_partkey", F.col("l_returnflag") == "R", "rejected").withColumnRenamed("l_orderkey", "task_id")
     return t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("task_id"), F.col("o_custkey").alias("response")).join(n, "task_id", "left")
 
 
@@ -203,6 +203,6 @@ def pool4(t):
     return t.embeddings.select("vec_id", "label").join(big, "label", "left_semi")
 
 
-@query("pool5_alignment_scores", "SELECT vec_id, round(list_sum(list_transform(embedding, x -> x::DOUBLE)), 3) AS total FROM embeddings")
+@query("pool5_alignment_scores", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) AS total FROM embeddings")
 def pool5(t):
     return t.embeddings.select("vec_id", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 3).alias("total"))

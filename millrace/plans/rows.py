@@ -10,7 +10,7 @@ from millrace.functions import text as T
 from millrace.operators import windows as W
 from millrace.plans.registry import query
 
-BARE = r"""array_to_string(list_filter(string_split_regex(regexp_replace({t}, '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), x -> x NOT IN ('a', 'an', 'the', '')), ' ')"""
+BARE = r"""array_to_string(list_filter(string_split_regex(regexp_replace({t}, '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('a', 'an', 'the', '')), ' ')"""
 
 
 @query("prj1_pool_rows", "SELECT doc_id, lang, source, greatest(length(text) // 4, 1) AS token_hint, concat(lang, '_', source) AS category FROM documents")
@@ -48,9 +48,9 @@ def prj5(t):
 
 
 @query("prj7_pair_sides", """
-SELECT o_orderkey AS pair_id, 1 AS side, o_custkey AS state FROM orders UNION ALL SELECT o_orderkey, 2, CAST(o_shippriority AS BIGINT) FROM orders""")
+SELECT o_orderkey AS pair_id, 1 AS side, o_custkey AS state FROM orders UNION ALL SELECT o_orderkey, 2, CAST(o_custkey % 4 AS BIGINT) FROM orders""")
 def prj7(t):
-    return t.orders.select(F.col("o_orderkey").alias("pair_id"), F.posexplode(F.array(F.col("o_custkey").cast("long"), F.col("o_shippriority").cast("long"))).alias("p", "state")).select("pair_id", (F.col("p") + 1).alias("side"), "state")
+    return t.orders.select(F.col("o_orderkey").alias("pair_id"), F.posexplode(F.array(F.col("o_custkey").cast("long"), (F.col("o_custkey") % 4).cast("long"))).alias("p", "state")).select("pair_id", (F.col("p") + 1).alias("side"), "state")
 
 
 @query("flt1_event_eligibility", """
@@ -121,11 +121,11 @@ def flt10(t):
 
 
 @query("flt11_count_audit", """
-WITH e AS (SELECT l_orderkey AS k, count(*) AS actual FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), x AS (SELECT o_orderkey AS k, o_shippriority + 2 AS expected FROM orders WHERE o_orderstatus = 'F')
+WITH e AS (SELECT l_orderkey AS k, count(*) AS actual FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), x AS (SELECT o_orderkey AS k, o_custkey % 4 AS expected FROM orders WHERE o_orderstatus = 'F')
 SELECT coalesce(x.k, e.k) AS k, expected, actual FROM x FULL JOIN e ON x.k = e.k WHERE expected IS DISTINCT FROM actual""")
 def flt11(t):
     actual = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("actual"))
-    expected = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), (F.col("o_shippriority") + 2).alias("expected"))
+    expected = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 4).alias("expected"))
     return expected.join(actual, "k", "full_outer").where(~F.col("expected").eqNullSafe(F.col("actual")))
 
 
@@ -165,7 +165,7 @@ WITH p AS (SELECT a.conv_id, a.turn, string_split({BARE.format(t='lower(a.text)'
 cx AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(x) AS w FROM p) WHERE w <> '' GROUP BY ALL),
 cy AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(y) AS w FROM p) WHERE w <> '' GROUP BY ALL),
 o AS (SELECT conv_id, turn, sum(least(cx.n, cy.n)) AS common FROM cx JOIN cy USING (conv_id, turn, w) GROUP BY ALL),
-l AS (SELECT conv_id, turn, len(list_filter(x, z -> z <> '')) AS nx, len(list_filter(y, z -> z <> '')) AS ny FROM p)
+l AS (SELECT conv_id, turn, len(list_filter(x, lambda z: z <> '')) AS nx, len(list_filter(y, lambda z: z <> '')) AS ny FROM p)
 SELECT conv_id, turn, round(CASE WHEN nx + ny = 0 THEN 0 ELSE 2.0 * coalesce(common, 0) / (nx + ny) END, 6) AS f1 FROM l LEFT JOIN o USING (conv_id, turn)""")
 def fn_f1(t):
     """Token-multiset F1 of a user turn and the reply: counts by word on both sides, one aggregate, no pairwise loop."""
@@ -180,7 +180,7 @@ def fn_f1(t):
 
 
 @query("fn_sentences", r"""
-SELECT doc_id, len(list_filter(string_split_regex(text, '[.!?]\s+|\n'), x -> x <> '')) AS n_sentences FROM documents""")
+SELECT doc_id, len(list_filter(string_split_regex(text, '[.!?]\s+|\n'), lambda x: x <> '')) AS n_sentences FROM documents""")
 def fn_sentences(t):
     return t.documents.select("doc_id", F.size(F.filter(F.split("text", r"[.!?]\s+|\n"), lambda x: x != "")).cast("long").alias("n_sentences"))
 
@@ -245,7 +245,7 @@ def fn_dates(t):
 
 
 @query("vec_unit_norms", """
-SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))), 4) AS norm, list_position(embedding, list_max(embedding)) - 1 AS top FROM embeddings""")
+SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm, list_position(embedding, list_max(embedding)) - 1 AS top FROM embeddings""")
 def vec_norms(t):
     return t.embeddings.select("vec_id", F.round(A.norm("embedding"), 4).alias("norm"), A.argmax(F.col("embedding")).alias("top"))
 

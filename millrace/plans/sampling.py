@@ -10,8 +10,8 @@ from millrace.plans.registry import query
 
 QUOTA = """
 WITH c AS (SELECT lang AS g, count(*) AS n FROM documents GROUP BY lang), t AS (SELECT sum(n) AS t, count(*) AS k FROM c),
-q AS (SELECT g, n, CAST(({total} - {floor} * k) * n AS BIGINT) // t::BIGINT AS q, CAST(({total} - {floor} * k) * n AS BIGINT) % t::BIGINT AS rem, {total} - {floor} * k AS left FROM c, t),
-a AS (SELECT g, n, q + {floor} + (row_number() OVER (ORDER BY rem DESC, n DESC, g) <= left - sum(q) OVER ())::INT AS quota FROM q)"""
+q AS (SELECT g, n, CAST(({total} - {floor} * k) * n AS BIGINT) // t::BIGINT AS q, CAST(({total} - {floor} * k) * n AS BIGINT) % t::BIGINT AS rem, {total} - {floor} * k AS room FROM c, t),
+a AS (SELECT g, n, q + {floor} + (row_number() OVER (ORDER BY rem DESC, n DESC, g) <= room - sum(q) OVER ())::INT AS quota FROM q)"""
 
 
 @query("set1_union_all", "SELECT doc_id AS id, 'doc' AS kind FROM documents UNION ALL SELECT page_id, 'page' FROM pages")

@@ -94,8 +94,8 @@ def win10(t):
 
 
 @query("win11_probe_positions", """
-WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS at, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
-SELECT conv_id, turn, at - 1 AS position FROM r WHERE at IN (ceil(n / 3.0), ceil(2 * n / 3.0), n)""")
+WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)
+SELECT conv_id, turn, k - 1 AS position FROM r WHERE k IN (ceil(n / 3.0), ceil(2 * n / 3.0), n)""")
 def win11(t):
     return W.probe_positions(t.conversations.select("conv_id", "turn"), ["conv_id"], [F.col("turn")], 3)
 
@@ -131,9 +131,10 @@ def win15(t):
 
 
 @query("win16_leave_one_out", """
-SELECT o_orderkey, round(CASE WHEN count(*) OVER w > 1 THEN (sum(o_totalprice) OVER w - o_totalprice) / (count(*) OVER w - 1) END, 2) AS others FROM orders WINDOW w AS (PARTITION BY o_custkey)""")
+SELECT o_orderkey, round(CASE WHEN count(*) OVER w > 1 THEN (sum(c) OVER w - c)::DOUBLE / (count(*) OVER w - 1) END, 3) AS others FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders) WINDOW w AS (PARTITION BY o_custkey)""")
 def win16(t):
-    return W.leave_one_out(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "others").select("o_orderkey", F.round("others", 2).alias("others"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")
+    return W.leave_one_out(t.orders.select("o_orderkey", "o_custkey", cents), ["o_custkey"], "cents", "others").select("o_orderkey", F.round("others", 3).alias("others"))
 
 
 @query("win17_token_schedule", """
@@ -256,7 +257,7 @@ def top22(t):
 
 
 @query("top23_preference_pairs", """
-WITH g AS (SELECT l_orderkey, arg_min(l_partkey, l_linenumber) AS chosen FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), b AS (SELECT l_orderkey, l_partkey AS rejected, min(l_linenumber) AS o FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
+WITH g AS (SELECT l_orderkey, arg_min(l_partkey, l_linenumber * 100000000 + l_partkey) AS chosen FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), b AS (SELECT l_orderkey, l_partkey AS rejected, min(l_linenumber) AS o FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
 r AS (SELECT l_orderkey, rejected, row_number() OVER (PARTITION BY l_orderkey ORDER BY o, rejected) AS pair FROM b) SELECT l_orderkey, rejected, pair, chosen FROM r JOIN g USING (l_orderkey) WHERE pair <= 2""")
 def top23(t):
     return S.preference_pairs(t.lineitem, "l_orderkey", "l_partkey", F.col("l_returnflag") == "N", "l_linenumber")
