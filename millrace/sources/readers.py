@@ -26,7 +26,7 @@ def _names(schema: str) -> list[str]:
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value): non-blank lines with their place. Files aren't split, so that a line's number is known."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "value"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "value"))
     return raw.where("trim(value) <> ''").select("file", (F.col("pos") + 1).alias("line"), "value")
 
 
@@ -66,7 +66,7 @@ def tolerant_jsonl(spark: SparkSession, path: str | list[str], schema: str, requ
 
 def array_or_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that is one JSON array or JSON lines; its first mark decides."""
-    first = spark.read.option("wholetext", True).text(path).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
     return spark.read.schema(schema).option("multiLine", bool(first and first.c == "[")).json(path)
 
 
@@ -118,7 +118,7 @@ def chain(spark: SparkSession, path: str, self_hash: str = "event_hash", repair:
     out if `repair`. Hashes are taken in Arrow batches; the chain is a window by file."""
     import hashlib
 
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
     cut = raw.withColumn("torn", ~F.col("body").endswith("\n") & (F.length("body") > 0)).select("file", "torn", F.posexplode(F.split("body", "\n")).alias("line", "value"))
     w = Window.partitionBy("file")
     rows = cut.where("value <> ''").withColumn("last", F.col("line") == F.max("line").over(w))

@@ -140,7 +140,7 @@ def test_strict_and_tolerant_scans(spark, tmp_path):
     names = readers._names(readers.POOL)
     (tmp_path / "a.jsonl").write_text(json.dumps(good) + "\n\n" + json.dumps(good | {"task_id": "b"}) + "\n")
     got = readers.strict_jsonl(spark, str(tmp_path / "a.jsonl"), readers.POOL, names).orderBy("pool_index").collect()
-    assert [r.task_id for r in got] == ["a", "b"]
+    assert [(r.task_id, r.line, r.pool_index) for r in got] == [("a", 1, 0), ("b", 3, 2)]
     (tmp_path / "b.jsonl").write_text(json.dumps(good | {"turn_index": True}) + "\nnot json\n" + json.dumps(good))
     with pytest.raises(Exception, match=r"b\.jsonl:1"):
         readers.strict_jsonl(spark, str(tmp_path / "b.jsonl"), readers.POOL, names).collect()
