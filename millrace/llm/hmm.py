@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,16 +22,15 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     kinds = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
-        seen: dict = {}
+        seen: Counter = Counter()
         n = 0
         for b in batches:
             for t in b.column(0):
                 n += 1
-                for w in C.words(t.as_py()):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(C.words(t.as_py()))
                 if len(seen) > FLUSH:
                     yield C.batch(kinds, list(seen), list(seen.values()))
-                    seen = {}
+                    seen = Counter()
         yield C.batch(kinds, [*seen, None], [*seen.values(), n])
 
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -42,76 +43,81 @@ class Model:
         self.start, self.move, self.emit = start, move, emit
 
 
-def _groups(seqs: list[np.ndarray], cells: int):
-    """Index groups of similar length, longest first, whose padded size is at most `cells` (or one sequence)."""
-    order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-    i = 0
-    while i < len(order):
-        n = max(1, cells // max(1, len(seqs[order[i]])))
-        yield order[i : i + n]
-        i += n
+class _Laid:
+    """Sequences side by side, longest first: at step t the first live[t] of them go on. x holds their symbols in the
+    order of steps, rows offsets[t] : offsets[t + 1] for step t, without padding."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        n = np.array([len(q) for q in seqs])
+        self.order = np.argsort(-n, kind="stable")
+        self.n = n[self.order]
+        self.live = np.searchsorted(-self.n, -np.arange(self.n[0]), side="left")
+        self.offsets = np.append(0, np.cumsum(self.live))
+        flat = np.concatenate([seqs[i] for i in self.order])
+        step = np.arange(len(flat)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
+        rank = np.repeat(np.arange(len(seqs)), self.n)
+        at = self.offsets[step] + rank
+        self.x, self.rank = np.empty(len(flat), np.int32), np.empty(len(flat), np.int32)
+        self.x[at], self.rank[at] = flat, rank
 
 
-def forward(model: Model, seqs: list[np.ndarray], cells: int = 1 << 17) -> np.ndarray:
+def forward(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     """Natural log likelihood of each sequence by the scaled forward recursion."""
-    out = np.zeros(len(seqs))
-    emit = np.ascontiguousarray(model.emit.T)
-    for group in _groups(seqs, cells):
-        n = np.array([len(seqs[i]) for i in group])
-        x = np.zeros((n[0], len(group)), np.int32)
-        for j, i in enumerate(group):
-            x[: n[j], j] = seqs[i]
-        live = np.searchsorted(-n, -np.arange(n[0]), side="left")  # sequences longer than t come first
-        a = np.broadcast_to(model.start, (len(group), len(model.start)))
-        total = np.zeros(len(group))
-        for t in range(n[0]):
-            k = live[t]
-            a = a[:k] @ model.move if t else a[:k]
-            a = a * emit[x[t, :k]]
-            s = a.sum(1)
-            a = a / s[:, None]
-            total[:k] += np.log(s)
-        out[group] = total
+    if not seqs:
+        return np.zeros(0)
+    laid, emit = _Laid(seqs), np.ascontiguousarray(model.emit.T)
+    scale = np.empty(len(laid.x))
+    a = np.broadcast_to(model.start, (len(seqs), len(model.start)))
+    for t, k in enumerate(laid.live.tolist()):
+        i = laid.offsets[t]
+        a = a[:k] @ model.move if t else a[:k]
+        a = a * emit.take(laid.x[i : i + k], axis=0)
+        s = a.sum(1)
+        a /= s[:, None]
+        scale[i : i + k] = s
+    out = np.empty(len(seqs))
+    out[laid.order] = np.bincount(laid.rank, weights=np.log(scale), minlength=len(seqs))
     return out
 
 
-def expect(model: Model, seqs: list[np.ndarray], sums: tuple, cells: int = 1 << 16) -> None:
-    """Add the Baum-Welch expected counts of starts, moves and emissions to `sums`."""
+def expect(model: Model, seqs: list[np.ndarray], sums: tuple, segment: int = 256) -> None:
+    """Add the Baum-Welch expected counts of starts, moves and emissions to `sums`, over every token.
+
+    Sequences are read in segments, so that long and short ones run side by side; a later segment starts from the
+    stationary distribution, and only first segments count as starts.
+    """
     start, move, emit = sums
-    by_symbol = np.ascontiguousarray(model.emit.T)
+    cut = [q[i : i + segment] for q in seqs for i in range(0, len(q), segment)]
+    first = np.array([i == 0 for q in seqs for i in range(0, len(q), segment)])
+    if not cut:
+        return
+    laid = _Laid(cut)
+    k_states, n = len(model.start), len(laid.x)
+    e = np.ascontiguousarray(model.emit.T).take(laid.x, axis=0)
+    still = np.linalg.matrix_power(model.move, 64).mean(0)
+    alpha, beta, scale = np.empty((n, k_states)), np.empty((n, k_states)), np.empty((n, 1))
+    a = np.where(first[laid.order][:, None], model.start, still)
+    live, offsets = laid.live.tolist(), laid.offsets.tolist()
+    for t, k in enumerate(live):
+        rows = slice(offsets[t], offsets[t] + k)
+        a = (a[:k] @ model.move if t else a[:k]) * e[rows]
+        s = a.sum(1, keepdims=True)
+        a /= s
+        alpha[rows], scale[rows] = a, s
+    e /= scale
     back = np.ascontiguousarray(model.move.T)
-    for group in _groups(seqs, cells):
-        n = np.array([len(seqs[i]) for i in group])
-        x = np.zeros((n[0], len(group)), np.int32)
-        for j, i in enumerate(group):
-            x[: n[j], j] = seqs[i]
-        live = np.searchsorted(-n, -np.arange(n[0]), side="left")
-        alphas, scales = [], []
-        a = np.broadcast_to(model.start, (len(group), len(model.start)))
-        for t in range(n[0]):
-            k = live[t]
-            a = a[:k] @ model.move if t else a[:k]
-            a = a * by_symbol[x[t, :k]]
-            s = a.sum(1)
-            a = a / s[:, None]
-            alphas.append(a)
-            scales.append(s)
-        beta = np.ones((0, len(model.start)))
-        post, syms = [], []
-        for t in range(n[0] - 1, -1, -1):
-            k = live[t]
-            if len(beta) < k:
-                beta = np.concatenate([beta, np.ones((k - len(beta), beta.shape[1]))])
-            post.append(alphas[t] * beta)
-            syms.append(x[t, :k])
-            if t:
-                w = by_symbol[x[t, :k]] * beta / scales[t][:, None]
-                move += model.move * (alphas[t - 1][:k].T @ w)
-                beta = w @ back
-        start += post[-1].sum(0)
-        post, syms = np.concatenate(post), np.concatenate(syms)
-        for s in range(len(start)):
-            emit[s] += np.bincount(syms, weights=post[:, s], minlength=emit.shape[1])
+    beta[offsets[-2] :] = 1
+    for t in range(len(live) - 1, 0, -1):
+        rows, before = slice(offsets[t], offsets[t] + live[t]), offsets[t - 1]
+        np.matmul(e[rows] * beta[rows], back, out=beta[before : before + live[t]])
+        beta[before + live[t] : offsets[t]] = 1
+    later = offsets[1]
+    steps = np.repeat(np.arange(len(live)), live)[later:]
+    move += model.move * (alpha[np.asarray(offsets)[steps - 1] + laid.rank[later:]].T @ (e[later:] * beta[later:]))
+    alpha *= beta
+    start += alpha[:later][first[laid.order]].sum(0)
+    for s in range(k_states):
+        emit[s] += np.bincount(laid.x, weights=alpha[:, s], minlength=emit.shape[1])
 
 
 def normalised(start, move, emit, unigram, weight: float = 20.0) -> Model:
@@ -153,11 +159,13 @@ def first_model(seqs: list[np.ndarray], unigram: np.ndarray, states: int, rounds
 
 def encoder(head: dict):
     """text -> (symbols of its words and the end, its words outside the head)."""
-    other, end = len(head) + 1, len(head)
+    other, end, get = len(head) + 1, len(head), head.get
 
-    def encode(text):
+    def encode(text, rest=True):
         ws = C.words(text)
-        x = np.fromiter((head.get(w, other) for w in ws), np.int32, len(ws))
+        x = np.array([get(w, other) for w in ws], np.int32)
+        if not rest:
+            return np.append(x, np.int32(end))
         rest = [ws[i] for i in np.flatnonzero(x == other)]
         return np.append(x, np.int32(end)), rest
 
@@ -211,8 +219,9 @@ def score_documents(
             sums = (np.zeros(k), np.zeros((k, k)), np.zeros((k, s)))
             for b in batches:
                 texts = b.column(0)
-                for i, j in C.chunks(texts.to_pylist()):
-                    expect(model, [enc(t.as_py())[0] for t in texts[i:j]], sums)
+                got = texts.to_pylist()
+                for i, j in C.chunks(got):
+                    expect(model, [enc(t, False) for t in got[i:j]], sums)
             start, move, emit = sums
             used = np.flatnonzero(emit.sum(0) > 0)
             ids = np.concatenate([[-1], -2 - np.arange(k), used]).astype(np.int32)
@@ -241,8 +250,9 @@ def score_documents(
         known = np.append(known, False)
         for b in batches:
             texts = b.column("__t")
-            for i, j in C.chunks(texts.to_pylist()):
-                both = [enc(t.as_py()) for t in texts[i:j]]
+            got = texts.to_pylist()
+            for i, j in C.chunks(got, 1024, 4 << 20):
+                both = [enc(t) for t in got[i:j]]
                 seqs = [x for x, _ in both]
                 own = C.batch(kinds, [len(x) for x in seqs], [int(known[x].sum()) for x in seqs], [float(logs[x].sum()) for x in seqs], forward(model, seqs) / np.log(10), [r for _, r in both])
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in ("doc_id", *names)), *own.columns], names=["doc_id", *names, *kinds.names])
