@@ -203,6 +203,8 @@ def pool4(t):
     return t.embeddings.select("vec_id", "label").join(big, "label", "left_semi")
 
 
-@query("pool5_alignment_scores", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) AS total FROM embeddings")
+@query("pool5_alignment_scores", "SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 1000) AS BIGINT))) AS BIGINT) AS total FROM embeddings")
 def pool5(t):
-    return t.embeddings.select("vec_id", F.round(F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 3).alias("total"))
+    """Sums of fixed-point components, which are the same in any order."""
+    fixed = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x * 1000).cast("long"))
+    return t.embeddings.select("vec_id", F.aggregate(fixed, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))

@@ -30,7 +30,7 @@ def rows(names, data):
         if isinstance(v, bool):
             return str(v)
         try:
-            return f"{float(v):.3f}"
+            return f"{round(float(v), 3) + 0.0:.3f}"
         except (TypeError, ValueError):
             return str(v)
 
