@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def toxic_net(spark: SparkSession, sf: str, docs: DataFrame):
-    return toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf, "labels"), "toxic", lambda i: common.fold_of(i, 5) == 0))
+    return toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf, "labels"), "toxic", lambda i: common.fold_of(i, 5) == 0, toxicity.PER_CLASS))
 
 
 def op1_toxicity(spark, sf):
@@ -58,7 +58,9 @@ def op7_decontamination(spark, sf):
 def op8_quality(spark, sf):
     docs = table(spark, sf, "documents")
     out = lambda i: common.fold_of(i, 3) == 1
-    ranker = quality.fit(toxicity.labelled_rows(docs, table(spark, sf, "labels"), "quality", out))
+    labels = table(spark, sf, "labels")
+    share = labels.where(~out(F.col("doc_id")) & F.col("quality").isin(0, 1)).agg(F.avg(1 - F.col("quality"))).first()[0]
+    ranker = quality.fit(toxicity.labelled_rows(docs, labels, "quality", out, quality.PER_CLASS), share)
     got = quality.score(docs.withColumn("held_out", out(F.col("doc_id"))), ranker, keep=("held_out",))
     return got.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

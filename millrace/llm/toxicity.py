@@ -270,19 +270,20 @@ def score_texts(net: Net, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(best, -40, 40)))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", per_class: int = 800) -> Net:
-    """Train on at most `per_class` labelled texts of each class (a documented bound), chosen by hash; texts that share
-    their two smallest word hashes count as copies and only the first is used. Null labels are left out."""
-    rows = []
-    for k in (0, 1):
-        some = labelled.where(F.col(label) == k).select(F.col(text).cast("string").alias("t"), F.xxhash64(text).alias("h")).orderBy("h").limit(per_class).select("t").collect()
-        seen = set()
-        for r in some:
-            sign = tuple(sorted({xxhash.xxh64_intdigest(w) for w in C.words(r.t)})[:2])
-            if sign not in seen:
-                seen.add(sign)
-                rows.append((r.t, k))
-    return train([t for t, _ in rows], [k for _, k in rows])
+#: Labelled texts of each class that training sees at most.
+PER_CLASS = 800
+
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "toxic") -> Net:
+    """Train on a bounded set of labelled texts (see `labelled_rows`). Texts that share their two smallest word hashes
+    count as copies and only one is used."""
+    rows, seen = [], set()
+    for r in sorted(labelled.select(F.col(text).alias("t"), F.col(label).alias("y")).collect(), key=lambda r: (r.y, r.t or "")):
+        sign = (r.y, *sorted({xxhash.xxh64_intdigest(w) for w in C.words(r.t)})[:2])
+        if sign not in seen:
+            seen.add(sign)
+            rows.append(r)
+    return train([r.t for r in rows], [r.y for r in rows])
 
 
 def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -303,7 +304,12 @@ def score(docs: DataFrame, net: Net, doc_id: str = "doc_id", text: str = "text",
     return src.mapInArrow(run, src.drop("__t").schema.add("score", "double"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, held_out, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(text, label) of the labelled documents outside the held-out fold."""
-    y = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias(label))
-    return docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text)).join(y, "__id").select(text, label)
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, held_out, per_class: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, label) of at most `per_class` labelled documents of each class outside the held-out fold, chosen by a hash
+    of their id. Ids are chosen before any text is read, so what is broadcast is 2 * per_class ids at most, and the
+    documents are filtered where they lie. Null labels are left out; of rows with one id the first text counts."""
+    y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("__id"), F.col(label).cast("int").alias(label))
+    by_hash = F.xxhash64("__id", F.lit(29))
+    some = [y.where(F.col(label) == k).orderBy(by_hash, "__id").limit(per_class) for k in (0, 1)]
+    got = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias(text)).join(F.broadcast(some[0].unionByName(some[1])), "__id")
+    return got.groupBy("__id", label).agg(F.min(text).alias(text)).select(text, label)
