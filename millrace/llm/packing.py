@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
+#: A control character as a word: one token that stands between words encoded together.
+MARK = b"\x01"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -31,21 +33,32 @@ class Words:
         if path not in self._of:
             self._of[path] = (Tokenizer.from_file(path), {})
         self.tokenizer, self.table = self._of[path]
+        self.mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids[-1]
         self.most = most
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Ids of new words. Many are encoded in one text, between marks that are a token of their own; a word that
+        holds the mark, or a text whose marks don't come back as sent, is encoded by itself."""
+        for i in range(0, len(new), 2048):
+            part = [w for w in new[i : i + 2048] if MARK not in w]
+            text = (b" " + MARK + b" ").join(part).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(part) - 1:
+                starts, ends = [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+                raw = ids.tobytes()
+                self.table.update((w, raw[a:b]) for w, a, b in zip(part, starts, ends, strict=True))
+            for w in new[i : i + 2048]:
+                if w not in self.table:
+                    self.table[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for t in texts:
-            ws = t.encode("utf-8", "replace").split() if t else []
-            if len(self.table) > self.most:
-                self.table.clear()
-            new = [w for w in set(ws) if w not in self.table]
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                    self.table[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.table.__getitem__, ws)))
-        return out
+        if len(self.table) > self.most:
+            self.table.clear()
+        table = self.table
+        own = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
+        self._learn(list({w for ws in own for w in ws if w not in table}))
+        return [b"".join(map(table.__getitem__, ws)) for ws in own]
 
 
 class SumOfSquares:
@@ -63,7 +76,7 @@ class SumOfSquares:
         if len(h):
             grow = 2 * (count[h + s] - count[h]) + 2
             grow[h + s == size] = 1 - 2 * count[size - s]
-            i = int(np.lexsort((-h, grow))[0])
+            i = len(h) - 1 - int(np.argmin(grow[::-1]))  # of equals the fullest level
             new = 1 if s == size else 2 * int(count[s]) + 1
             best = int(h[i]) if grow[i] <= new else 0
         if best:
@@ -158,10 +171,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
         def items():
             for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1)
-                for i, d in enumerate(ids):
-                    got = words.encode([texts[i].as_py()])[0] + tail
-                    yield d, got, len(got) // 4
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for i, j in C.chunks(texts):
+                    for d, got in zip(ids[i:j], words.encode(texts[i:j]), strict=True):
+                        yield d, got + tail, len(got) // 4 + 1
 
         rows = []
         for k, seq in enumerate(pack(items(), size)):
