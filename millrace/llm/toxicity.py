@@ -15,7 +15,9 @@ from millrace.llm import common as C
 BUCKETS = 1 << 14
 CHAR, WORD, HIDDEN = 6, 6, 8
 #: Words in a window, and from one window's start to the next.
-WINDOW, STRIDE = 16, 12
+WINDOW, STRIDE = 16, 8
+#: A word of more bytes than LONG is read as pieces of PIECE bytes, each starting half a piece after the one before.
+LONG, PIECE = 64, 12
 #: Bytes in a character gram; every word with its two marks has one of each.
 SIZES = (3, 4)
 
@@ -32,12 +34,20 @@ def _sigmoid(x):
     return x
 
 
+def tokens(text: str | None) -> list[bytes]:
+    """The words of a text; a very long one as overlapping pieces, which are words of their own."""
+    ws = C.words(text)
+    if not ws or max(map(len, ws)) <= LONG:
+        return ws
+    return [p for w in ws for p in ([w] if len(w) <= LONG else [w[i : i + PIECE] for i in range(0, len(w) - PIECE // 2, PIECE // 2)])]
+
+
 def grams(ws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each gram size, the hash buckets of the grams of '<word>', for all words at once, and how many each word has."""
     if not ws:
         return [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in SIZES]
-    flat = np.frombuffer(b"<" + b"><".join([w[:64] for w in ws]) + b">", np.uint8).astype(np.uint32)
-    n = np.minimum(np.fromiter(map(len, ws), np.int64, len(ws)), 64) + 2
+    flat = np.frombuffer(b"<" + b"><".join(ws) + b">", np.uint8).astype(np.uint32)
+    n = np.fromiter(map(len, ws), np.int64, len(ws)) + 2
     left = np.repeat(np.cumsum(n), n) - np.arange(len(flat))
     out = []
     for size in SIZES:
@@ -195,7 +205,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 5, steps: in
         net.p["out"][:] = 0
         net.p["bias"][:] = 3.0 if len(y) and y[0] else -3.0
         return net
-    docs = [C.words(t) for t in texts]
+    docs = [tokens(t) for t in texts]
     at = {"char": np.zeros((2, BUCKETS)), "word": np.zeros((2, BUCKETS))}
     for ws, k in zip(docs, labels, strict=True):
         own = list(set(ws))
@@ -261,7 +271,7 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 5, steps: in
 
 def score_texts(net: Net, texts: list[str | None]) -> np.ndarray:
     """The probability of each text's highest window."""
-    ws, idx, owner = layout([C.words(t) for t in texts])
+    ws, idx, owner = layout([tokens(t) for t in texts])
     x, _ = net.inputs(ws)
     pre = net.project(x)
     best = np.full(len(texts), -np.inf)
