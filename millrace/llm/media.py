@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from millrace.llm import common as C
 
 #: Samples a second, samples in a frame, from frame to frame; frames a filter looks at.
-RATE, FRAME, HOP, SPAN = 8000, 1024, 512, 8
+RATE, FRAME, HOP, SPAN = 8000, 1024, 512, 12
 #: A link has so many aligned values at least and at most this share of differing bits.
 OVERLAP, ERRORS = 16, 0.15
+#: Keys join two halves of values: bits (lowest bit of the half) of one value, of the value `gap` later, and the gap.
+KEYS = ((16, 16, 4), (0, 0, 4), (8, 8, 4), (16, 16, 8), (0, 0, 8), (8, 8, 8))
+#: Recordings of one key that are paired as rows; keys of more are verified in blocks.
+PAIRED = 64
 
 
 def _pitch_class() -> np.ndarray:
@@ -39,25 +43,27 @@ def chroma(samples: np.ndarray) -> np.ndarray:
 
 
 def _filters() -> list[tuple[list, list]]:
-    """Sixteen pairs of rectangles (time, pitch, width, height): halves of a window in time or in pitch, by rule."""
-    out = []
+    """Sixteen pairs of sets of rectangles (time, pitch, width, height) by rule: a band's early against its late half,
+    a band against the opposite one, the ends of a band against its middle, and two bands crosswise."""
+    out, mid, quarter = [], SPAN // 2, SPAN // 4
     for k in range(16):
-        y, h = (3 * k) % 12, 2 + k % 3
-        h = min(h, 12 - y)
-        if k % 2:
-            out.append(([(0, y, SPAN // 2, h)], [(SPAN // 2, y, SPAN // 2, h)]))
-        else:
-            out.append(([(0, y, SPAN, h)], [(0, (y + 6) % 12, SPAN, min(h, 12 - (y + 6) % 12))]))
+        y = ((3 if k < 4 else 5) * k) % 12
+        h = min(2 + k % 3, 12 - y)
+        z = (y + (6 if k % 4 == 1 else 4)) % 12
+        g = min(h, 12 - z)
+        out.append((
+            ([(0, y, mid, h)], [(mid, y, SPAN - mid, h)]),
+            ([(0, y, SPAN, h)], [(0, z, SPAN, g)]),
+            ([(0, y, quarter, h), (SPAN - quarter, y, quarter, h)], [(quarter, y, SPAN - 2 * quarter, h)]),
+            ([(0, y, mid, h), (mid, z, SPAN - mid, g)], [(mid, y, SPAN - mid, h), (0, z, mid, g)]),
+        )[k % 4])
     return out
 
 
 _FILTERS = _filters()
 
 
-def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """One 32-bit value for each window of SPAN frames: sixteen filters, each the log ratio of two rectangle sums taken
-    from the integral image, in four levels (Gray code)."""
-    c = chroma(samples)
+def _values(c: np.ndarray) -> np.ndarray:
     n = len(c) - SPAN + 1
     if n < 1:
         return np.empty(0, np.uint32)
@@ -73,41 +79,94 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     out = np.zeros(n, np.uint32)
     gray = np.array([0, 1, 3, 2], np.uint32)
     for a, b in _FILTERS:
-        level = np.digitize(np.log((total(a) + 0.1) / (total(b) + 0.1)), (-0.7, 0.0, 0.7))
+        level = np.digitize(np.log((total(a) + 0.3) / (total(b) + 0.3)), (-0.5, 0.0, 0.5))
         out = out << np.uint32(2) | gray[level]
     return out
 
 
-def _align(group: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Links between the recordings of a group: the offset that most of their equal values vote for is taken, and the
-    bit errors there decide."""
-    ids, first = np.unique(group["rec"], return_index=True)
-    prints = [np.frombuffer(group["print"][i], np.uint32) for i in first]
-    mine, across = group["__mine"][first], group["__p"][0] != group["__q"][0]
+def fingerprint(samples: np.ndarray) -> np.ndarray:
+    """One 32-bit value for each window of SPAN frames: sixteen filters, each the log ratio of two sums of rectangles
+    taken from the integral image, in four levels (Gray code)."""
+    return _values(chroma(samples))
+
+
+_SILENCE = _values(np.zeros((SPAN, 12), np.float32))[0]
+
+
+def keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, position) of a fingerprint; of equal keys in a row the first counts. Silence has none."""
+    k, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    y = x.astype(np.int64)
+    for tag, (a, b, gap) in enumerate(KEYS):
+        if len(y) > gap:
+            one = tag << 32 | (y[: len(y) - gap] >> a & 0xFFFF) << 16 | y[gap:] >> b & 0xFFFF
+            keep = (x[: len(x) - gap] != _SILENCE) | (x[gap:] != _SILENCE)
+            keep[1:] &= one[1:] != one[:-1]
+            k.append(one[keep])
+            at.append(np.flatnonzero(keep))
+    return np.concatenate(k), np.concatenate(at)
+
+
+def linked(x: np.ndarray, y: np.ndarray, offset: int) -> bool:
+    """Do x[i + offset] and y[i] overlap in OVERLAP values or more, with at most ERRORS of their bits differing?"""
+    x, y = x[max(0, offset) :], y[max(0, -offset) :]
+    n = min(len(x), len(y))
+    return n >= OVERLAP and int(np.bitwise_count(x[:n] ^ y[:n]).sum()) <= ERRORS * 32 * n
+
+
+def _block(group: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a block of one key, as a spanning forest: pairs whose links are known already aren't verified again."""
+    node, at = group["node"], group["at"]
+    prints = [np.frombuffer(p, np.uint32) for p in group["print"]]
+    mine, across = group["__mine"], group["__p"][0] != group["__q"][0]
+    labels = np.unique(group["comp"], return_inverse=True)[1]
+    order = np.argsort(labels, kind="stable")
     out = []
-    for i in range(len(ids)):
-        for j in range(i + 1, len(ids)):
-            if across and mine[i] == mine[j]:
-                continue  # this pair meets in the group of its own block
-            x, y = prints[i], prints[j]
-            p, q = np.nonzero(x[:, None] == y[None, :])
-            votes = np.bincount(p - q + len(y))
-            shift = int(np.argmax(votes)) - len(y)
-            x, y = x[max(0, shift) :], y[max(0, -shift) :]
-            n = min(len(x), len(y))
-            if n >= OVERLAP and np.bitwise_count(x[:n] ^ y[:n]).sum() <= ERRORS * 32 * n:
-                out.append((ids[i], ids[j]))
+    for i in order.tolist():
+        while True:
+            others = np.flatnonzero(labels != labels[i])
+            others = others[others > i]
+            if across:
+                others = others[mine[others] != mine[i]]
+            hit = next((j for j in others.tolist() if linked(prints[i], prints[j], int(at[i] - at[j]))), None)
+            if hit is None:
+                break
+            out.append((node[i], node[hit]))
+            labels[labels == labels[hit]] = labels[i]
     got = np.array(out, np.int64).reshape(-1, 2)
     return got[:, 0], got[:, 1]
 
 
-def match(recordings: DataFrame, rec_id: str = "rec_id", audio: str = "audio", block: int = 128) -> DataFrame:
-    """rec_id, class_id, n_values, n_links for every row of `recordings` (audio: 16-bit little-endian mono samples).
+def _verified(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, b) of the pairs (a, b, offset) that link: votes for each offset are summed, and offsets are tried from the one
+    with most votes on until the bit errors there decide for a link."""
+    votes = pairs.groupBy("a", "b", "offset").agg(F.count(F.lit(1)).alias("n"))
+    votes = votes.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("n", "offset")), asc=False).alias("votes")).select("a", "b", F.col("votes.offset").alias("offsets"))
+    both = votes.join(prints.select(F.col("node").alias("a"), F.col("print").alias("x")), "a").join(prints.select(F.col("node").alias("b"), F.col("print").alias("y")), "b")
+
+    def run(batches):
+        for t in batches:
+            x, y = ([np.frombuffer(v, np.uint32) for v in t.column(i).to_pylist()] for i in (1, 2))
+            ok = [any(linked(p, q, o) for o in offsets) for p, q, offsets in zip(x, y, t.column(0).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in (t.column(3), t.column(4))], names=["a", "b"])
+
+    return both.select("offsets", "x", "y", "a", "b").mapInArrow(run, "a long, b long")
+
+
+def match(recordings: DataFrame, rec_id: str = "rec_id", audio: str = "audio", paired: int = PAIRED, block: int = 1024) -> DataFrame:
+    """rec_id, class_id, component_id, n_values for every row of `recordings` (audio: 16-bit little-endian mono samples).
 
-    Recordings of one fingerprint are a class, named by its smallest rec_id. Classes that share two values in a row are
-    aligned at the offset with most such votes and link if at least 16 values overlap there with at most 15 % of bits
-    wrong; n_links counts linked classes. Null, empty and short audio has no values: one class, no links. Null ids
-    belong to a class but don't name it. Repeated rows give a row each.
+    Recordings of one fingerprint are a class, named by its smallest rec_id; component_id is the smallest rec_id that
+    can be reached over links. Two classes link if, at an offset for which one of their shared keys votes, at least 16
+    values overlap with at most 15 % of their bits wrong. A key joins halves of two values (see KEYS); where noise
+    changes up to 15 % of the bits, nearly all pairs share one (README has the recall at each level).
+
+    Every recording is first compared with one other for each of its keys (the smallest class that has the key), which
+    is linear and joins copies; then, within each key, all classes that are still in different components: as pairs of
+    rows where few have the key, otherwise in blocks. So no link between components is lost.
+    Null, empty, short and silent audio has no keys: its class is its component. Rows with null ids belong to a class
+    and carry links, but don't name it (null, if no row does). Repeated rows give a row each, an empty table none; other
+    columns aren't read.
     """
     src = recordings.select(F.col(rec_id).cast("long").alias("rec"), F.col(audio).alias("pcm"))
 
@@ -116,39 +175,57 @@ def match(recordings: DataFrame, rec_id: str = "rec_id", audio: str = "audio", b
             got = [fingerprint(np.frombuffer(x.as_py() or b"", "<i2", count=len(x.as_py() or b"") // 2)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g.tobytes() for g in got], pa.binary())], names=["rec", "print"])
 
-    prints = C.cut(src.mapInArrow(run, "rec long, print binary"))
-    classes = C.cut(prints.groupBy(F.sha2("print", 256).alias("h")).agg(F.min("rec").alias("rec"), F.first("print").alias("print")))
+    rows = C.cut(src.mapInArrow(run, "rec long, print binary").withColumn("h", F.sha2("print", 256)))
+    classes = rows.groupBy("h").agg(F.min("rec").alias("class_id"), F.first("print").alias("print"))
+    classes = C.cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    prints = classes.select("node", "print")
 
-    def keys(batches):
+    def post(batches):
         for b in batches:
-            for r, p in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(p.as_py(), np.uint32).astype(np.uint64)
-                if r is not None and len(x) > 1:
-                    k = (x[:-1] << np.uint64(32) | x[1:]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), r, np.int64))], names=["key", "rec"])
-
-    posts = classes.select("rec", "print").mapInArrow(keys, "key long, rec long")
-    posts = C.cut(posts.distinct())
-    dealt = C.block_pairs(posts, ["key"], "rec", block).join(classes.select("rec", "print"), "rec")
-    links = C.by_group(dealt.select("key", "__p", "__q", "__mine", "rec", "print"), ["key", "__p", "__q"], _align).distinct()
-    n = links.select(F.explode(F.array("a", "b")).alias("rec")).groupBy("rec").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(n, "rec", "left").select("h", F.col("rec").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return prints.withColumn("h", F.sha2("print", 256)).join(named, "h").select(F.col("rec").alias("rec_id"), "class_id", (F.length("print") / 4).cast("long").alias("n_values"), "n_links")
+            for node, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                k, at = keys(np.frombuffer(p, np.uint32))
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), node)), pa.array(at.astype(np.int32))], names=["key", "node", "at"])
+
+    posts = prints.mapInArrow(post, "key long, node long, at int")
+    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    posts = C.cut(posts.join(shared, "key"))
+
+    first = posts.groupBy("key").agg(F.min(F.struct("node", "at")).alias("f")).select("key", F.col("f.node").alias("a"), F.col("f.at").alias("from"))
+    star = posts.join(first, "key").where("node != a").select("a", F.col("node").alias("b"), (F.col("from") - F.col("at")).alias("offset"))
+    star = C.cut(_verified(star, prints))
+    comp = C.components(star, "a", "b")
+
+    named = posts.join(comp, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("comp"))
+    open_ = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n")
+    named = C.cut(named.join(open_, "key"))
+    few, many = named.where(F.col("n") <= paired).drop("n"), named.where(F.col("n") > paired).drop("n")
+    pairs = few.alias("l").join(few.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")))
+    pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), (F.col("l.at") - F.col("r.at")).alias("offset"))
+    dealt = C.block_pairs(many, ["key"], "node", block).join(prints, "node")
+    rest = C.by_group(dealt.select("key", "__p", "__q", "__mine", "node", "at", "comp", "print"), ["key", "__p", "__q"], _block)
+    comp = C.components(star.unionByName(_verified(pairs, prints)).unionByName(rest), "a", "b")
+
+    joined = C.cut(classes.join(comp, "node", "left").select("h", "class_id", F.coalesce("component", "node").alias("comp")))
+    least = joined.groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    joined = joined.join(least, "comp").select("h", "class_id", "component_id")
+    return rows.join(joined, "h").select(F.col("rec").alias("rec_id"), "class_id", "component_id", (F.length("print") / 4).cast("long").alias("n_values"))
 
 
 def tones(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Recordings (rec_id, audio) for a table that has none: each component of a vector becomes a note of one hop, its
-    pitch the value in steps of a sixteenth. Equal vectors sound the same, near ones nearly so. Null vectors are empty."""
+    """Recordings (rec_id, audio) for a table that has none: each component of a vector becomes two notes of one hop, one
+    of its value in fortieths, one of the running sum in twelfths. Equal vectors sound the same, near ones nearly so. Null
+    vectors are empty."""
     src = vectors.select(F.col(vec_id).cast("long").alias("rec_id"), F.col(vector).cast("array<double>").alias("v"))
     t = np.arange(HOP) / RATE
 
     def run(batches):
         for b in batches:
             out = []
-            for v in b.column(1):
-                x = np.nan_to_num(np.array([i for i in v.as_py() or [] if i is not None], float))
-                hz = 220 * 2 ** ((np.round(x * 16) % 24) / 12)
-                out.append((8000 * np.sin(2 * np.pi * hz[:, None] * t[None, :])).astype("<i2").tobytes())
+            for v in b.column(1).to_pylist():
+                x = np.nan_to_num(np.array([i for i in v or [] if i is not None], float))
+                one, two = (np.sin(2 * np.pi * (220 * 2 ** (np.floor(k) % 36 / 12))[:, None] * t) for k in (40 * x, 12 * np.cumsum(x)))
+                out.append((5000 * one + 3000 * two).astype("<i2").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["rec_id", "audio"])
 
     return src.mapInArrow(run, "rec_id long, audio binary")

@@ -248,28 +248,6 @@ def test_sum_of_squares_choice():
     assert not b.place(5)[1] and b.windows == 3
 
 
-# 5. media
-
-
-def test_audio_alignment(spark):
-    rng = np.random.default_rng(6)
-    t = np.arange(512) / 8000
-
-    def song(seed):
-        hz = 220 * 2 ** (np.random.default_rng(seed).integers(0, 24, 60) / 12)
-        return (8000 * np.sin(2 * np.pi * hz[:, None] * t)).astype("<i2").ravel()
-
-    a, b = song(1), song(2)
-    shifted = a[512 * 10 :]
-    noisy = (a + rng.normal(0, 40, len(a))).astype("<i2")
-    rows = [(1, a), (2, b), (3, shifted), (4, noisy), (5, a)]
-    d = spark.createDataFrame([(i, x.tobytes()) for i, x in rows] + [(6, b""), (7, None), (None, b.tobytes()), (8, b"\x01")], "rec_id long, audio binary")
-    got = {r.rec_id: r for r in media.match(d).collect()}
-    assert got[5].class_id == 1 and got[None].class_id == 2 and got[6].class_id == got[7].class_id == 6 and got[6].n_links == 0
-    assert got[3].n_links >= 1 and got[1].n_links >= 2 and got[2].n_links == 0
-    assert media.match(d.limit(0)).count() == 0
-
-
 # 6. passages
 
 
