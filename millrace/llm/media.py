@@ -220,7 +220,7 @@ def tones(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding")
     t = np.arange(HOP) / RATE
 
     def run(batches):
-        for b in batches:
+        for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):  # audio is larger than vectors are
             out = []
             for v in b.column(1).to_pylist():
                 x = np.nan_to_num(np.array([i for i in v or [] if i is not None], float))
