@@ -80,42 +80,103 @@ def forward(model: Model, seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expect(model: Model, seqs: list[np.ndarray], sums: tuple, segment: int = 256) -> None:
-    """Add the Baum-Welch expected counts of starts, moves and emissions to `sums`, over every token.
-
-    Sequences are read in segments, so that long and short ones run side by side; a later segment starts from the
-    stationary distribution, and only first segments count as starts.
+def _split(seqs: list[np.ndarray], segment: int):
+    """(segments, the sequence of each, its place in the sequence)."""
+    n = np.array([max(1, -(-len(q) // segment)) for q in seqs], np.int64)
+    owner = np.repeat(np.arange(len(seqs)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return [seqs[o][i * segment : (i + 1) * segment] for o, i in zip(owner.tolist(), place.tolist(), strict=True)], owner, place
+
+
+def _transfer(model: Model, segs: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """(segments, K, K): what each segment makes of the states before it (for first segments: of its own first states),
+    up to a factor for each segment."""
+    laid, emit, k_states = _Laid(segs), np.ascontiguousarray(model.emit.T), len(model.start)
+    out = np.where(first[laid.order][:, None, None], np.eye(k_states), model.move)
+    for t, k in enumerate(laid.live.tolist()):
+        e = emit.take(laid.x[laid.offsets[t] : laid.offsets[t] + k], axis=0)[:, None, :]
+        if t:
+            out[:k] = (out[:k].reshape(-1, k_states) @ model.move).reshape(k, k_states, k_states) * e
+        else:
+            out *= e
+        if t % 8 == 7:
+            out[:k] /= out[:k].max((1, 2), keepdims=True)
+    back = np.empty_like(out)
+    back[laid.order] = out / out.max((1, 2), keepdims=True)
+    return back
+
+
+def _bounds(model: Model, segs: list[np.ndarray], owner: np.ndarray, place: np.ndarray, group: int):
+    """(states that enter each segment, weights of its last states given all that follows it): exact, each sequence's
+    segments chained by their transfer matrices. Sequences of one segment need none."""
+    k = len(model.start)
+    enter, leave = np.tile(model.start, (len(segs), 1)), np.ones((len(segs), k))
+    count = np.bincount(owner)
+    long = np.flatnonzero(count[owner] > 1)
+    if not len(long):
+        return enter, leave
+    moves = np.concatenate([_transfer(model, [segs[i] for i in long[j : j + group]], place[long[j : j + group]] == 0) for j in range(0, len(long), group)])
+    at = np.full(len(segs), -1)
+    at[long] = np.arange(len(long))
+    steps = [np.flatnonzero((place == j) & (at >= 0)) for j in range(place.max() + 1)]
+    for j in range(1, len(steps)):
+        i = steps[j]
+        v = np.einsum("dk,dkl->dl", enter[i - 1], moves[at[i - 1]])
+        enter[i] = v / v.sum(1, keepdims=True)
+    for j in range(len(steps) - 1, 0, -1):
+        i = steps[j]
+        v = np.einsum("dkl,dl->dk", moves[at[i]], leave[i])
+        leave[i - 1] = v / v.max(1, keepdims=True)
+    return enter, leave
+
+
+def expect(model: Model, seqs: list[np.ndarray], sums: tuple, segment: int = 256, group: int = 1024) -> None:
+    """Add the Baum-Welch expected counts of starts, moves and emissions to `sums`, exactly, over every token.
+
+    Long sequences are read in segments, side by side with short ones: what enters a segment and what follows it comes
+    from the transfer matrices of the segments around it, so that the counts are those of the whole sequence. `group`
+    segments are in memory at once.
     """
-    start, move, emit = sums
-    cut = [q[i : i + segment] for q in seqs for i in range(0, len(q), segment)]
-    first = np.array([i == 0 for q in seqs for i in range(0, len(q), segment)])
-    if not cut:
+    if not seqs:
         return
-    laid = _Laid(cut)
+    segs, owner, place = _split(seqs, segment)
+    enter, leave = _bounds(model, segs, owner, place, group)
+    for i in range(0, len(segs), group):
+        j = slice(i, i + group)
+        _expect(model, segs[j], place[j] == 0, enter[j], leave[j], sums)
+
+
+def _expect(model: Model, segs: list[np.ndarray], first: np.ndarray, enter: np.ndarray, leave: np.ndarray, sums: tuple) -> None:
+    start, move, emit = sums
+    laid = _Laid(segs)
+    first, enter, leave = first[laid.order], enter[laid.order], leave[laid.order]
     k_states, n = len(model.start), len(laid.x)
     e = np.ascontiguousarray(model.emit.T).take(laid.x, axis=0)
-    still = np.linalg.matrix_power(model.move, 64).mean(0)
     alpha, beta, scale = np.empty((n, k_states)), np.empty((n, k_states)), np.empty((n, 1))
-    a = np.where(first[laid.order][:, None], model.start, still)
     live, offsets = laid.live.tolist(), laid.offsets.tolist()
+    a = np.where(first[:, None], enter, enter @ model.move)
     for t, k in enumerate(live):
         rows = slice(offsets[t], offsets[t] + k)
-        a = (a[:k] @ model.move if t else a[:k]) * e[rows]
+        a = (a[:k] @ model.move if t else a) * e[rows]
         s = a.sum(1, keepdims=True)
         a /= s
         alpha[rows], scale[rows] = a, s
     e /= scale
     back = np.ascontiguousarray(model.move.T)
-    beta[offsets[-2] :] = 1
+    last = np.asarray(offsets)[laid.n - 1] + np.arange(len(segs))
+    leave = leave / (alpha[last] * leave).sum(1, keepdims=True)
+    beta[last] = leave
     for t in range(len(live) - 1, 0, -1):
         rows, before = slice(offsets[t], offsets[t] + live[t]), offsets[t - 1]
         np.matmul(e[rows] * beta[rows], back, out=beta[before : before + live[t]])
-        beta[before + live[t] : offsets[t]] = 1
     later = offsets[1]
     steps = np.repeat(np.arange(len(live)), live)[later:]
-    move += model.move * (alpha[np.asarray(offsets)[steps - 1] + laid.rank[later:]].T @ (e[later:] * beta[later:]))
+    e *= beta
+    pairs = alpha[np.asarray(offsets)[steps - 1] + laid.rank[later:]].T @ e[later:]
+    pairs += enter[~first].T @ e[:later][~first]
+    move += model.move * pairs
     alpha *= beta
-    start += alpha[:later][first[laid.order]].sum(0)
+    start += alpha[:later][first].sum(0)
     for s in range(k_states):
         emit[s] += np.bincount(laid.x, weights=alpha[:, s], minlength=emit.shape[1])
 
@@ -127,17 +188,21 @@ def normalised(start, move, emit, unigram, weight: float = 20.0) -> Model:
     return Model((start + 1) / (start.sum() + k), (move + 1) / (move + 1).sum(1, keepdims=True), e / e.sum(1, keepdims=True))
 
 
+#: Segments of 64 tokens, evenly spaced over the sampled texts, that starting values are taken from at most.
+SAMPLE_SEGMENTS = 6000
+
+
 def first_model(seqs: list[np.ndarray], unigram: np.ndarray, states: int, rounds: int) -> Model:
-    """Starting values: sequences are clustered by their words (mixture of unigrams, hashed starts), one state to a
-    cluster, then Baum-Welch on the same bounded sample."""
+    """Starting values: segments of sequences are clustered by their words (mixture of unigrams, hashed starts), one
+    state to a cluster, then Baum-Welch on the same bounded sample. Only where training starts depends on it."""
     s = len(unigram)
     rng = np.random.default_rng(11)
     if not seqs or s < 2:
         noise = rng.random((states, s)) * 0.1 + 1
         return normalised(np.zeros(states), np.zeros((states, states)), noise * unigram, unigram)
     cut = [q[i : i + 64] for q in seqs for i in range(0, len(q), 64)]
-    if len(cut) > 6000:
-        cut = [cut[i] for i in np.linspace(0, len(cut) - 1, 6000).astype(int)]
+    if len(cut) > SAMPLE_SEGMENTS:
+        cut = [cut[i] for i in np.linspace(0, len(cut) - 1, SAMPLE_SEGMENTS).astype(int)]
     owner = np.repeat(np.arange(len(cut)), [len(q) for q in cut])
     flat = np.concatenate(cut)
     pick = rng.integers(0, len(cut), states)
@@ -172,26 +237,45 @@ def encoder(head: dict):
     return encode
 
 
-def score_documents(
-    docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int = 10, head_words: int = 32768, rounds: int = 2,
-    sample_docs: int = 400, sample_rounds: int = 6, keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """Per row of `docs`: doc_id, `keep`, n_tokens, n_known, train_tokens, base_score, score.
+def cutoff(counts: DataFrame, most: int) -> int:
+    """The least count such that at most `most` words have it or more, up to steps of an eighth: from a histogram whose
+    size doesn't depend on the table. Equal counts are all in or all out."""
+    step = F.floor(8 * F.log2("n")).cast("int")
+    own = counts.where("word is not null").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
+    got, least = 0, 1 << 62
+    for r in sorted(own, key=lambda r: -r.step):
+        got += r.words
+        if got > most:
+            break
+        least = r.least
+    return least
 
-    Tokens are words, then one end. Base: add-0.1 unigram over the training tokens and one unknown. Model: an HMM of
-    `states` states. A state emits one of the `head_words` commonest training words, the end, or "other"; "other"
-    gives a word with its base probability among those outside the head. Probabilities over all words sum to one.
-    Word counts cover all training rows. Starting values come from `sample_docs` rows; then `rounds` Baum-Welch rounds
-    run over all training rows, expected counts summed across partitions. The recursion is over whole texts.
-    The head and the model are broadcast (head_words x (states + a word)); words outside the head meet their counts in
-    a join. Null text: the end alone. No training rows: N = V = 0, every token has base probability 1.
-    Repeated rows and null ids are scored each; other columns aren't read.
-    """
-    spark = docs.sparkSession
+
+def sample(train: DataFrame, doc_id: str, text: str, rows: int, total: int) -> list[str | None]:
+    """About `rows` texts (four times as many at most), those with the smallest hashes of their ids: the threshold is
+    set before a text is read."""
+    by = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(31))
+    share = min(1.0, rows / max(1, total))
+    got = train.where(by <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))).select(F.col(text).cast("string").alias("t"), by.alias("h")).limit(4 * rows).collect()
+    return [r.t for r in sorted(got, key=lambda r: (r.h, r.t or ""))]
+
+
+class Trained:
+    """The head (word -> symbol), the model, the counts of all words and what the base probabilities need."""
+
+    def __init__(self, head, model, base, known, total, floor, counts):
+        self.head, self.model, self.base, self.known, self.total, self.floor, self.counts = head, model, base, known, total, floor, counts
+
+
+def fit(
+    train: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int = 10, head_words: int = 32768, rounds: int = 2, sample_docs: int = 400, sample_rounds: int = 6,
+) -> Trained:
+    """The model of `score_documents`."""
+    spark = train.sparkSession
     counts = C.cut(count_words(train, text))
     tot = counts.agg(F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("d"), F.sum("n").alias("n"), F.count("word").alias("v")).first()
     ends, total, distinct = tot.d or 0, tot.n or 0, tot.v + (1 if tot.d else 0)
-    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(head_words).collect()
+    top = sorted(counts.where(F.col("word").isNotNull() & (F.col("n") >= cutoff(counts, head_words))).collect(), key=lambda r: (-r.n, bytes(r.word)))
     head = {bytes(r.word): i for i, r in enumerate(top)}
     head_n = np.array([r.n for r in top] + [ends], float)
     floor = total + 0.1 * (distinct + 1)
@@ -203,11 +287,8 @@ def score_documents(
     if not ends:
         base[len(head)] = 0.1 / floor
     unigram = base / base.sum()
-    names = list(keep)
-
-    some = train.select(F.col(text).cast("string").alias("t"), F.xxhash64(doc_id, text).alias("h")).orderBy("h").limit(sample_docs).select("t").collect() if total else []
     encode = encoder(head)
-    model = first_model([encode(r.t)[0] for r in some], unigram, states, sample_rounds)
+    model = first_model([encode(t)[0] for t in sample(train, doc_id, text, sample_docs, ends)] if total else [], unigram, states, sample_rounds)
     sizes = (states, len(unigram))
     for _ in range(rounds if total else 0):
         sent = spark.sparkContext.broadcast((head, model))
@@ -218,8 +299,7 @@ def score_documents(
             k, s = sizes
             sums = (np.zeros(k), np.zeros((k, k)), np.zeros((k, s)))
             for b in batches:
-                texts = b.column(0)
-                got = texts.to_pylist()
+                got = b.column(0).to_pylist()
                 for i, j in C.chunks(got):
                     expect(model, [enc(t, False) for t in got[i:j]], sums)
             start, move, emit = sums
@@ -239,8 +319,30 @@ def score_documents(
             else:
                 emit[:, r[0]] += r[1:]
         model = normalised(start, move, emit, unigram)
+        sent.unpersist()
+    return Trained(head, model, base, head_n > 0, total, floor, counts)
+
 
-    sent = spark.sparkContext.broadcast((head, model, np.log10(np.append(base[:-1], 1.0)), head_n > 0))
+def score_documents(
+    docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int = 10, head_words: int = 32768, rounds: int = 2,
+    sample_docs: int = 400, sample_rounds: int = 6, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per row of `docs`: doc_id, `keep`, n_tokens, n_known, train_tokens, base_score, score.
+
+    Tokens are words, then one end. Base: add-0.1 unigram over the training tokens and one unknown. Model: an HMM of
+    `states` states. A state emits a word of the head, the end, or "other"; "other" gives a word with its base
+    probability among those outside the head. Probabilities over all words sum to one. The head is the commonest
+    training words, `head_words` at most and down to a count that all of its words reach (see `cutoff`).
+    Word counts cover all training rows. Starting values come from `sample_docs` rows or so; then `rounds` Baum-Welch
+    rounds run over all training rows and whole texts, expected counts summed across partitions. The recursion is over
+    whole texts.
+    The head and the model are broadcast (head_words x (states + a word)); words outside the head meet their counts in
+    a join. Null text: the end alone. No training rows: N = V = 0, every token has base probability 1.
+    Repeated rows and null ids are scored each; other columns aren't read.
+    """
+    got = fit(train, doc_id, text, states, head_words, rounds, sample_docs, sample_rounds)
+    counts, base, floor, names = got.counts, got.base, got.floor, list(keep)
+    sent = docs.sparkSession.sparkContext.broadcast((got.head, got.model, np.log10(np.append(base[:-1], 1.0)), got.known))
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *names, F.col(text).cast("string").alias("__t"))
     kinds = pa.schema([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.binary()))])
 
@@ -249,8 +351,7 @@ def score_documents(
         enc = encoder(head)
         known = np.append(known, False)
         for b in batches:
-            texts = b.column("__t")
-            got = texts.to_pylist()
+            got = b.column("__t").to_pylist()
             for i, j in C.chunks(got, 1024, 4 << 20):
                 both = [enc(t) for t in got[i:j]]
                 seqs = [x for x, _ in both]
@@ -268,5 +369,5 @@ def score_documents(
     inside = float(np.log10(base[-1])) if base[-1] > 0 else 0.0
     nil = lambda c: F.coalesce(c, F.lit(0))
     return whole.select(
-        "doc_id", *names, "n_tokens", (F.col("n_known") + nil("k")).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        "doc_id", *names, "n_tokens", (F.col("n_known") + nil("k")).alias("n_known"), F.lit(int(got.total)).cast("long").alias("train_tokens"),
         (F.col("base") + nil("p")).alias("base_score"), (F.col("score") + nil("p") - inside * nil("m")).alias("score"))
