@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and odd rows."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -144,10 +145,16 @@ def test_hmm_is_a_distribution_and_exact(spark):
         ws = ascii_words(t)
         assert abs(r.base_score - (sum(p(c[w]) for w in ws) + p(len(words)))) < 1e-9
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws) + 1, sum(c[w] > 0 for w in ws) + 1, total)
-    # all words of one place and the end: the model's probabilities of the first token add up to one
-    model_first = {t: 10 ** r.score for t, r in got.items()}
-    assert model_first["A"] == pytest.approx(model_first["a"])
-    assert all(r.score < 0 for r in got.values())
+    # the score is the plain forward recursion over states that emit every word: head, tail and one unknown
+    f = hmm.fit(train, states=3, head_words=2)
+    share = {w: 10 ** p(c[w]) / f.base[-1] for w in [*c, "new"] if w.encode() not in f.head}
+    emit = lambda w: f.model.emit[:, -1] * share[w] if w in share else f.model.emit[:, f.head[w.encode()] if w is not None else len(f.head)]
+    assert sum(emit(w) @ f.model.start for w in [*c, "new", None]) == pytest.approx(1) and f.model.start.sum() == pytest.approx(1)
+    for t, r in got.items():
+        a = f.model.start
+        for i, w in enumerate([*ascii_words(t), None]):
+            a = (a @ f.model.move if i else a) * emit(w)
+        assert r.score == pytest.approx(np.log10(a.sum()))
 
 
 def test_forward_and_expectation_match_enumeration():
@@ -157,7 +164,7 @@ def test_forward_and_expectation_match_enumeration():
     seqs = [rng.integers(0, s, n).astype(np.int32) for n in (4, 1, 6)]
     import itertools
 
-    ll, sums, want = [], (np.zeros(k), np.zeros((k, k)), np.zeros((k, s))), (np.zeros(k), np.zeros((k, k)), np.zeros((k, s)))
+    ll, want = [], (np.zeros(k), np.zeros((k, k)), np.zeros((k, s)))
     for q in seqs:
         paths = {z: m.start[z[0]] * m.emit[z[0], q[0]] * np.prod([m.move[a, b] * m.emit[b, x] for a, b, x in zip(z, z[1:], q[1:], strict=False)]) for z in itertools.product(range(k), repeat=len(q))}
         total = sum(paths.values())
@@ -169,8 +176,20 @@ def test_forward_and_expectation_match_enumeration():
             for a, x in zip(z, q, strict=True):
                 want[2][a, x] += p / total
     assert np.allclose(hmm.forward(m, seqs), ll)
-    hmm.expect(m, seqs, sums)
-    assert all(np.allclose(a, b) for a, b in zip(sums, want, strict=True))
+    for segment, group in ((256, 1024), (1, 1024), (2, 2), (3, 1)):
+        sums = (np.zeros(k), np.zeros((k, k)), np.zeros((k, s)))
+        hmm.expect(m, seqs, sums, segment, group)
+        assert all(np.allclose(a, b) for a, b in zip(sums, want, strict=True))
+
+
+def test_head_is_bounded(spark):
+    rows = [(f"w{i}".encode(), 1 + 100000 // (i + 1)) for i in range(2000)] + [(None, 5)]
+    counts = spark.createDataFrame(rows, "word binary, n long")
+    for most in (1, 10, 500, 1999, 2000):
+        least = hmm.cutoff(counts, most)
+        head = [n for w, n in rows if w and n >= least]
+        assert len(head) <= most and (most < 10 or len(head) >= most / 2)
+    assert hmm.cutoff(counts.limit(0), 5) > 1 << 60
 
 
 def test_hmm_odd_tables(spark, docs, empty):
@@ -430,11 +449,18 @@ def test_round_trip(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(said)] + [(2, 0, "odd\nrole <|im_end|>", "x"), (2, 0, "odd\nrole <|im_end|>", "x"), (2, None, None, "first"), (None, 1, "user", "u"), (3, 2, "assistant", "b"), (3, 2, "assistant", "a")]
     d = spark.createDataFrame([(*r, "f") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     got = {r.conv_id: r for r in chat.format_turns(d).collect()}
-    assert all(r.round_trip for r in got.values())
+    digests = {r.conv_id: r for r in chat.digests(chat.format_turns(d)).collect()}
     for c in (1, 2, 3, None):
         own = sorted(((t is not None, t, r or "", x or "") for i, t, r, x in rows if i == c), key=lambda z: (z[0], z[1] or 0, z[2], z[3]))
         assert [(u["role"], u["text"]) for u in got[c].turns] == [(z[2], z[3]) for z in own]
+        # the mask covers the assistant's texts as they stand in the output, each once
+        under = [got[c].formatted[u["start"] : u["start"] + u["length"]] for u in got[c].loss]
+        texts = [z[3] for z in own if z[2] == "assistant"]
+        assert [re.sub(r"(?s)\\(.)", r"\1", t) for t in under] == texts
+        assert all(a["start"] + a["length"] <= b["start"] for a, b in zip(got[c].loss, got[c].loss[1:], strict=False))
+        assert digests[c].loss_sha256 == hashlib.sha256("".join(texts).encode()).hexdigest() and digests[c].loss_chars == len("".join(texts))
+        assert digests[c].turns_sha256 == hashlib.sha256("".join(f"{z[2]}\n{z[3]}\n" for z in own).encode()).hexdigest() and digests[c].formatted_chars == len(got[c].formatted)
     assert got[1].formatted.count("<|im_start|>") == len(said) and got[1].n_turns == len(said)
-    assert chat.format_turns(d.limit(0)).count() == 0 and chat.digests(chat.format_turns(d)).count() == 4
+    assert chat.format_turns(d.limit(0)).count() == 0 and len(digests) == 4
     bad = spark.createDataFrame([("<|im_start|>user\nx",), ("y<|im_start|>user\nx<|im_end|>\n",), ("<|im_start|>u\na<|im_end|>b<|im_end|>\n",)], "t string")
     assert bad.select(chat.parse(F.col("t")).alias("p")).where("p is not null").count() == 0
