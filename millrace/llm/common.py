@@ -50,11 +50,25 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of `df` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where it is unset (tests, local mode) a folder is made."""
+    """The session's spark.checkpoint.dir. Only in local mode a folder is made where it is unset: executors elsewhere
+    don't see the driver's disk, and the job fails at once instead."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -86,6 +100,17 @@ def block_pairs(members: DataFrame, key: list[str], ident: str, block: int = 204
     )
 
 
+def with_last(items):
+    """(is it the last, item)."""
+    before = None
+    for x in items:
+        if before is not None:
+            yield False, before
+        before = x
+    if before is not None:
+        yield True, before
+
+
 def by_group(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """(a, b) longs that `fn` makes of each group of `keys` (not null), given as arrays by column.
 

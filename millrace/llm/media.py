@@ -15,7 +15,9 @@ RATE, FRAME, HOP, SPAN = 8000, 1024, 512, 12
 OVERLAP, ERRORS = 16, 0.15
 #: Keys join two halves of values: bits (lowest bit of the half) of one value, of the value `gap` later, and the gap.
 KEYS = ((16, 16, 4), (0, 0, 4), (8, 8, 4), (16, 16, 8), (0, 0, 8), (8, 8, 8))
-#: Recordings of one key that are paired as rows; keys of more are verified in blocks.
+#: Bits in which the two whole values of a key may differ between recordings, out of 64, for the key to vote.
+WRONG = 14
+#: Places that share a key and are paired at once; keys of more are verified in blocks.
 PAIRED = 64
 
 
@@ -93,18 +95,43 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
 _SILENCE = _values(np.zeros((SPAN, 12), np.float32))[0]
 
 
-def keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, position) of a fingerprint; of equal keys in a row the first counts. Silence has none."""
-    k, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+def keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, position, both whole values) of a fingerprint; of equal keys in a row the first counts. Silence has none."""
+    k, at, whole = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     y = x.astype(np.int64)
     for tag, (a, b, gap) in enumerate(KEYS):
         if len(y) > gap:
-            one = tag << 32 | (y[: len(y) - gap] >> a & 0xFFFF) << 16 | y[gap:] >> b & 0xFFFF
-            keep = (x[: len(x) - gap] != _SILENCE) | (x[gap:] != _SILENCE)
+            u, v = y[: len(y) - gap], y[gap:]
+            one = tag << 32 | (u >> a & 0xFFFF) << 16 | v >> b & 0xFFFF
+            keep = (u != _SILENCE) | (v != _SILENCE)
             keep[1:] &= one[1:] != one[:-1]
             k.append(one[keep])
             at.append(np.flatnonzero(keep))
-    return np.concatenate(k), np.concatenate(at)
+            whole.append((u << 32 | v)[keep])
+    return np.concatenate(k), np.concatenate(at), np.concatenate(whole)
+
+
+def _votes(batches):
+    """(a, b, offset) of the pairs of places that share a key of at most PAIRED, from (key, node, at, whole) sorted by key.
+    The last key of a batch waits for the next."""
+    held = None
+    for last, t in C.with_last(batches):
+        key, node, at, whole = (np.concatenate([h, t.column(i).to_numpy()]) if held else t.column(i).to_numpy() for i, h in enumerate(held or (None,) * 4))
+        if not len(key):
+            held = None
+            continue
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        done = len(key) if last else starts[-1]
+        held = None if last else (key[done:], node[done:], at[done:], whole[done:])
+        key, node, at, whole = key[:done], node[:done], at[:done].astype(np.int64), whole[:done].view(np.uint64)
+        for k in range(1, done):
+            i = np.flatnonzero(key[k:] == key[:-k])
+            if not len(i):
+                break
+            i = i[(node[i] != node[i + k]) & (np.bitwise_count(whole[i] ^ whole[i + k]) <= WRONG)]
+            if len(i):
+                a, b = node[i], node[i + k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.where(a < b, at[i] - at[i + k], at[i + k] - at[i]).astype(np.int32))], names=["a", "b", "offset"])
 
 
 def linked(x: np.ndarray, y: np.ndarray, offset: int) -> bool:
@@ -116,7 +143,7 @@ def linked(x: np.ndarray, y: np.ndarray, offset: int) -> bool:
 
 def _block(group: dict) -> tuple[np.ndarray, np.ndarray]:
     """Links of a block of one key, as a spanning forest: pairs whose links are known already aren't verified again."""
-    node, at = group["node"], group["at"]
+    node, at, whole = group["node"], group["at"], group["whole"].view(np.uint64)
     prints = [np.frombuffer(p, np.uint32) for p in group["print"]]
     mine, across = group["__mine"], group["__p"][0] != group["__q"][0]
     labels = np.unique(group["comp"], return_inverse=True)[1]
@@ -125,7 +152,7 @@ def _block(group: dict) -> tuple[np.ndarray, np.ndarray]:
     for i in order.tolist():
         while True:
             others = np.flatnonzero(labels != labels[i])
-            others = others[others > i]
+            others = others[(others > i) & (np.bitwise_count(whole[others] ^ whole[i]) <= WRONG)] if len(others) else others
             if across:
                 others = others[mine[others] != mine[i]]
             hit = next((j for j in others.tolist() if linked(prints[i], prints[j], int(at[i] - at[j]))), None)
@@ -158,12 +185,13 @@ def match(recordings: DataFrame, rec_id: str = "rec_id", audio: str = "audio", p
 
     Recordings of one fingerprint are a class, named by its smallest rec_id; component_id is the smallest rec_id that
     can be reached over links. Two classes link if, at an offset for which one of their shared keys votes, at least 16
-    values overlap with at most 15 % of their bits wrong. A key joins halves of two values (see KEYS); where noise
-    changes up to 15 % of the bits, nearly all pairs share one (README has the recall at each level).
+    values overlap with at most 15 % of their bits wrong. A key joins halves of two values (see KEYS) and votes if both
+    values agree but for WRONG bits; where noise changes up to 15 % of the bits, nearly all pairs have such a key (README
+    has the recall at each level).
 
-    Every recording is first compared with one other for each of its keys (the smallest class that has the key), which
-    is linear and joins copies; then, within each key, all classes that are still in different components: as pairs of
-    rows where few have the key, otherwise in blocks. So no link between components is lost.
+    Within a key that few places share, all pairs vote. Where many share one, each is compared with the smallest class
+    that has it, which is linear and joins copies; then, in blocks, all that are still in different components. So no
+    link between components is lost.
     Null, empty, short and silent audio has no keys: its class is its component. Rows with null ids belong to a class
     and carry links, but don't name it (null, if no row does). Repeated rows give a row each, an empty table none; other
     columns aren't read.
@@ -183,28 +211,25 @@ def match(recordings: DataFrame, rec_id: str = "rec_id", audio: str = "audio", p
     def post(batches):
         for b in batches:
             for node, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                k, at = keys(np.frombuffer(p, np.uint32))
+                k, at, whole = keys(np.frombuffer(p, np.uint32))
                 if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), node)), pa.array(at.astype(np.int32))], names=["key", "node", "at"])
-
-    posts = prints.mapInArrow(post, "key long, node long, at int")
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    posts = C.cut(posts.join(shared, "key"))
-
-    first = posts.groupBy("key").agg(F.min(F.struct("node", "at")).alias("f")).select("key", F.col("f.node").alias("a"), F.col("f.at").alias("from"))
-    star = posts.join(first, "key").where("node != a").select("a", F.col("node").alias("b"), (F.col("from") - F.col("at")).alias("offset"))
-    star = C.cut(_verified(star, prints))
-    comp = C.components(star, "a", "b")
-
-    named = posts.join(comp, "node", "left").select("key", "node", "at", F.coalesce("component", "node").alias("comp"))
-    open_ = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n")
-    named = C.cut(named.join(open_, "key"))
-    few, many = named.where(F.col("n") <= paired).drop("n"), named.where(F.col("n") > paired).drop("n")
-    pairs = few.alias("l").join(few.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.comp") != F.col("r.comp")))
-    pairs = pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), (F.col("l.at") - F.col("r.at")).alias("offset"))
-    dealt = C.block_pairs(many, ["key"], "node", block).join(prints, "node")
-    rest = C.by_group(dealt.select("key", "__p", "__q", "__mine", "node", "at", "comp", "print"), ["key", "__p", "__q"], _block)
-    comp = C.components(star.unionByName(_verified(pairs, prints)).unionByName(rest), "a", "b")
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), node)), pa.array(at.astype(np.int32)), pa.array(whole)], names=["key", "node", "at", "whole"])
+
+    posts = prints.mapInArrow(post, "key long, node long, at int, whole long")
+    hot = C.cut(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > paired).select("key"))
+    few = posts.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    many = C.cut(posts.join(hot, "key"))
+    first = many.groupBy("key").agg(F.min(F.struct("node", "at", "whole")).alias("f")).select("key", F.col("f.node").alias("a"), F.col("f.at").alias("from"), F.col("f.whole").alias("w"))
+    star = many.join(first, "key").where((F.col("node") != F.col("a")) & (F.bit_count(F.col("whole").bitwiseXOR(F.col("w"))) <= WRONG))
+    star = star.select("a", F.col("node").alias("b"), (F.col("from") - F.col("at")).alias("offset"))
+    known = C.cut(_verified(few.mapInArrow(_votes, "a long, b long, offset int").unionByName(star), prints))
+    comp = C.components(known, "a", "b")
+
+    named = many.join(comp, "node", "left").select("key", "node", "at", "whole", F.coalesce("component", "node").alias("comp"))
+    open_ = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    dealt = C.block_pairs(named.join(open_, "key"), ["key"], "node", block).join(prints, "node")
+    rest = C.by_group(dealt.select("key", "__p", "__q", "__mine", "node", "at", "whole", "comp", "print"), ["key", "__p", "__q"], _block)
+    comp = C.components(known.unionByName(rest), "a", "b")
 
     joined = C.cut(classes.join(comp, "node", "left").select("h", "class_id", F.coalesce("component", "node").alias("comp")))
     least = joined.groupBy("comp").agg(F.min("class_id").alias("component_id"))
