@@ -57,99 +57,124 @@ class Words:
             self.table.clear()
         table = self.table
         own = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        self._learn(list({w for ws in own for w in ws if w not in table}))
+        self._learn(list(set().union(*own).difference(table)))
         return [b"".join(map(table.__getitem__, ws)) for ws in own]
 
 
 class SumOfSquares:
-    """Online packing. count[h] is the number of open windows filled to level h; a piece of size s goes to the level h
-    for which the sum of squares of the counts grows least, that is to the least count[h + s] - count[h] (a full
-    window counts 0, a new one opens level 0). `place` returns the window; a window filled to `size` is closed."""
+    """Online packing. count[h] is the number of open windows filled to level h, 0 < h < size; a full window is closed and
+    counts no more. Of equal choices the fullest level is taken, an open window before a new one."""
 
     def __init__(self, size: int):
-        self.size, self.count, self.open, self.windows = size, np.zeros(size + 1, np.int64), [[] for _ in range(size + 1)], 0
+        self.size, self.count, self.open, self.live = size, np.zeros(size + 1, np.int64), [[] for _ in range(size + 1)], 0
 
-    def place(self, s: int) -> tuple[list, bool]:
+    def _fit(self, s: int) -> tuple[int, int]:
+        """(level, growth of the sum of squares) for a piece of size s on an open window; level 0: it fits on none."""
         size, count = self.size, self.count
         h = np.flatnonzero(count[: size - s + 1])
-        best = 0
-        if len(h):
-            grow = 2 * (count[h + s] - count[h]) + 2
-            grow[h + s == size] = 1 - 2 * count[size - s]
-            i = len(h) - 1 - int(np.argmin(grow[::-1]))  # of equals the fullest level
-            new = 1 if s == size else 2 * int(count[s]) + 1
-            best = int(h[i]) if grow[i] <= new else 0
-        if best:
-            window = self.open[best].pop()
-            count[best] -= 1
+        if not len(h):
+            return 0, 0
+        grow = 2 * (count[h + s] - count[h]) + 2
+        grow[h + s == size] = 1 - 2 * count[size - s]
+        i = len(h) - 1 - int(np.argmin(grow[::-1]))
+        return int(h[i]), int(grow[i])
+
+    def _put(self, level: int, s: int) -> tuple[list, bool]:
+        if level:
+            window = self.open[level].pop()
+            self.count[level] -= 1
         else:
             window = []
-            self.windows += 1
-        if best + s == size:
+            self.live += 1
+        if level + s == self.size:
+            self.live -= 1
             return window, True
-        count[best + s] += 1
-        self.open[best + s].append(window)
+        self.count[level + s] += 1
+        self.open[level + s].append(window)
         return window, False
 
-    def drain(self) -> list[list]:
-        left = [w for level in reversed(self.open) for w in level]
-        self.count[:] = 0
-        self.open = [[] for _ in range(self.size + 1)]
-        return left
-
-
-def pack(items, size: int = 4096, most_open: int = 8192):
+    def place(self, s: int) -> tuple[list, bool]:
+        """(window, is it full now): the level for which the sum of squares grows least, level 0 being a new window."""
+        level, grow = self._fit(s)
+        new = 0 if s == self.size else 2 * int(self.count[s]) + 1
+        return self._put(level if level and grow <= new else 0, s)
+
+    def squeeze(self, s: int) -> tuple[list, int, bool]:
+        """(window, how much of the piece it takes, is it full now), without a new window: the whole piece where it fits,
+        by the same rule; otherwise it is cut into the level that the cut closes and for which the sum falls most."""
+        level, _ = self._fit(s)
+        if not level:
+            h = np.flatnonzero(self.count)
+            level = int(h[len(h) - 1 - int(np.argmax(self.count[h][::-1]))])
+            s = self.size - level
+        return *self._put(level, s)[:1], s, level + s == self.size
+
+    def take(self, level: int) -> list:
+        """An open window of this level, which is open no more."""
+        self.count[level] -= 1
+        self.live -= 1
+        return self.open[level].pop()
+
+
+def pack(items, size: int = 4096, most_open: int = 4096):
     """items: (doc, ids as little-endian bytes, tokens of the document). Yields sequences as lists of pieces
     [doc, start, ids, tokens of the document].
 
-    Documents longer than a window are cut into whole windows and a rest. Whatever is open at the end, or when
-    `most_open` windows are open, is laid end to end, cut into whole windows, and the last rest into sequences whose
-    lengths are powers of two, which need no padding.
+    Documents longer than a window are cut into whole windows and a rest; rests are placed by the sum-of-squares rule.
+    While `most_open` windows are open, none is opened: a rest that fits on none is cut, each cut closing a window by the
+    same rule. So it is at the end, where the least filled windows are taken apart, until one is left. It is cut into
+    sequences whose lengths are powers of two, which need no padding; open windows of such a fill stay as they are.
     """
     bins = SumOfSquares(size)
 
-    def flush():
-        run, filled = [], 0
-        for piece in (p for w in bins.drain() for p in w):
-            doc, start, ids, total = piece
-            while ids:
-                take = min(len(ids) // 4, size - filled)
-                run.append([doc, start, ids[: 4 * take], total])
-                start, ids, filled = start + take, ids[4 * take :], filled + take
-                if filled == size:
-                    yield run
-                    run, filled = [], 0
-        for bit in reversed(range(size.bit_length())):
-            if filled >> bit & 1:
-                need, one = 1 << bit, []
-                while need:
-                    doc, start, ids, total = run[0]
-                    take = min(need, len(ids) // 4)
-                    one.append([doc, start, ids[: 4 * take], total])
-                    need -= take
-                    if 4 * take == len(ids):
-                        run.pop(0)
-                    else:
-                        run[0] = [doc, start + take, ids[4 * take :], total]
-                yield one
+    def squeezed(piece):
+        doc, start, ids, total = piece
+        while ids:
+            if not bins.live:
+                bins.place(len(ids) // 4)[0].append([doc, start, ids, total])
+                return
+            window, n, full = bins.squeeze(len(ids) // 4)
+            window.append([doc, start, ids[: 4 * n], total])
+            start, ids = start + n, ids[4 * n :]
+            if full:
+                yield window
 
-    opened = 0
     for doc, ids, total in items:
         n, start = len(ids) // 4, 0
         while n - start >= size:
             yield [[doc, start, ids[4 * start : 4 * (start + size)], total]]
             start += size
         if start < n:
-            before = bins.windows
-            window, full = bins.place(n - start)
-            opened += bins.windows - before - full
-            window.append([doc, start, ids[4 * start :], total])
-            if full:
-                yield window
-            elif opened >= most_open:
-                yield from flush()
-                opened = 0
-    yield from flush()
+            piece = [doc, start, ids[4 * start :], total]
+            if bins.live < most_open:
+                window, full = bins.place(n - start)
+                window.append(piece)
+                if full:
+                    yield window
+            else:
+                yield from squeezed(piece)
+    for k in range(size.bit_length() - 1):
+        while bins.count[1 << k]:
+            yield bins.take(1 << k)
+    while bins.live > 1:
+        for piece in bins.take(int(np.flatnonzero(bins.count)[0])):
+            yield from squeezed(piece)
+    if bins.live:
+        level = int(np.flatnonzero(bins.count)[0])
+        run = bins.take(level)
+        for bit in reversed(range(size.bit_length())):
+            if level >> bit & 1:
+                need, one = 1 << bit, []
+                while need:
+                    doc, start, ids, total = run[0]
+                    n = min(need, len(ids) // 4)
+                    one.append([doc, start, ids[: 4 * n], total])
+                    need -= n
+                    if 4 * n == len(ids):
+                        run.pop(0)
+                    else:
+                        run[0] = [doc, start + n, ids[4 * n :], total]
+                yield one
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end: int = 2) -> DataFrame:
@@ -158,7 +183,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text
 
     A document is its text's ids, then `end`; null and empty texts are `end` alone. Each id lies in exactly one piece.
     A sequence is full or has a power of two as its length, so that none needs padding. Every partition packs for
-    itself, one pass with bounded state and no shuffle; sequence_id is unique over partitions. A null doc_id is
+    itself, one pass with bounded state and no shuffle (see `pack`); sequence_id is unique over partitions. A null doc_id is
     carried as null, repeated rows are packed each, an empty table gives no rows, other columns aren't read.
     """
     src = docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
