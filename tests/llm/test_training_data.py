@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, common, contamination, hmm, media, packing, quality, simhash, substring, toxicity, urls
+from millrace.llm import chat, common, contamination, hmm, media, packing, quality, simhash, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __t string, score double"
 RNG = np.random.default_rng(4)
@@ -249,79 +249,81 @@ def test_packing(spark, docs, empty):
     for r in got:
         total[r.doc_id, r.doc_tokens] += r.length
     assert total == Counter({k: k[1] * n for k, n in want.items()})
-    one = [r for r in got if r.doc_id == 6]
-    ids = tok.encode(dict(rows)[6], add_special_tokens=False).ids + [2]
-    assert all(r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in one)
+    # every piece's ids, of one of the texts of its document
+    ids = {}
+    for d, t in rows:
+        ids.setdefault(d, []).append(tok.encode(t or "", add_special_tokens=False).ids + [2])
+    assert all(any(len(x) == r.doc_tokens and r.ids_crc32 == zlib.crc32(np.array(x[r.start : r.start + r.length], "<u4").tobytes()) for x in ids[r.doc_id]) for r in got)
     assert packing.pack_documents(empty, path).count() == 0
 
 
-def test_sum_of_squares_choice():
-    b = packing.SumOfSquares(10)
-    b.place(6), b.place(6)
-    # a third piece: on 6 the sum of squares goes from 4 to 2, in a new window it would be 5
-    b.place(3)
-    assert b.count[6] == 1 and b.count[9] == 1 and b.windows == 2
-    # 4 fits on 6 and closes it
-    assert b.place(4)[1] and b.count[6] == 0 and b.windows == 2
-    # 5 fits on nothing
-    assert not b.place(5)[1] and b.windows == 3
-
-
-# 6. passages
-
-
-def shingles_plain(b):
-    w = b.lower().split()
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-
-
-def test_repeats_against_all_pairs(spark):
-    rng = np.random.default_rng(8)
-    line = [prose(rng, 30) for _ in range(12)]
-    edited = line[0].split()
-    edited[-1] = "other"
-    texts = ["\n".join(line[:3]), "\n".join([prose(rng, 20), line[1]]), " ".join(edited), prose(rng, 40), "\n".join(line[3:6]), line[4].upper(), None, "", "short"]
-    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(4, texts[4], 1), (None, line[5], 1)], "doc_id long, text string, start int")
-    parts = {}
-    for i, t in enumerate([*texts, line[5]]):
-        raw = (t or "").encode()
-        for a, b in substring.paragraphs(raw):
-            parts[i, a, b - a] = shingles_plain(raw[a:b])
-    keys = list(parts)
-    label = {k: k for k in keys}
-    for _ in range(len(keys)):
-        for x in keys:
-            for y in keys:
-                u, v = parts[x], parts[y]
-                if len(u & v) >= 0.8 * len(u | v):
-                    m = min(label[x], label[y])
-                    label[x] = label[y] = m
-    n = Counter(label.values())
-    want = {k: label[k] for k in keys if n[label[k]] > 1}
-    got = {(len(texts) if r.doc_id is None else r.doc_id, r.start, r.length): r for r in substring.repeats(d, bits=16).collect()}
-    assert set(got) == set(want)
-    by_class = {}
-    for k, r in got.items():
-        by_class.setdefault(r["class"], set()).add(want[k])
-        assert r.removed == (k != want[k])
-    assert all(len(v) == 1 for v in by_class.values())
-
-
-def test_dedup_cuts_only_repeats(spark, empty):
-    rng = np.random.default_rng(9)
-    p, q, r = (prose(rng, 60) for _ in range(3))
-    d = spark.createDataFrame([(1, p + "\n" + q, "x", 0), (2, r + "\n" + p, "y", 0), (3, r[:50], "z", 0)], "doc_id long, text string, u string, n_chars long")
-    got = {x.doc_id: x for x in substring.dedup(d, bits=16).collect()}
-    assert got[1].text == p + "\n" + q and got[2].text.startswith(r[:40]) and p[:60] not in got[2].text and got[2].n_chars == len(got[2].text) and got[3].text == r[:50]
-    assert substring.dedup(empty, bits=16).count() == 0 and substring.repeats(empty, bits=16).count() == 0
-
-
-def test_paragraphs_survive_insertion():
-    p = b"One two three four five six seven eight nine. Ten eleven twelve a b c d e f. More words stand here in this third sentence of it."
-    alone = {p[a:b] for a, b in substring.paragraphs(p)}
-    q = b"Some other words come first and then " + p + b" and some follow."
-    assert len(alone & {q[a:b] for a, b in substring.paragraphs(q)}) >= 1
-    assert substring.paragraphs(b"") == [] and substring.paragraphs(b"few words. only") == []
+def plain_pack(sizes, size, most):
+    """The same rule over a plain list of windows: (pieces by window, in the order in which windows are done)."""
+    open_, done = [], []
+    fill = lambda w: sum(n for _, _, n in w)
+    squares = lambda ws: sum(n * n for n in Counter(fill(w) for w in ws if fill(w) < size).values())
+
+    def put(i, piece):
+        if i is None:
+            open_.append([piece])
+        else:
+            open_.append([*open_.pop(i), piece])  # of one level the last touched goes first
+        if fill(open_[-1]) == size:
+            done.append(open_.pop())
+
+    def choose(options, n):
+        return min(options, key=lambda i: (squares([w if j != i else [*w, (0, 0, n)] for j, w in enumerate(open_)] + ([[(0, 0, n)]] if i is None else [])), -(fill(open_[i]) if i is not None else 0), -(i or 0)))
+
+    def squeeze(d, start, n):
+        while n:
+            if not open_:
+                return put(None, (d, start, n))
+            fits = [i for i, w in enumerate(open_) if fill(w) + n <= size]
+            if fits:
+                return put(choose(fits, n), (d, start, n))
+            common = Counter(map(fill, open_))
+            i = max(range(len(open_)), key=lambda i: (common[fill(open_[i])], fill(open_[i]), i))
+            k = size - fill(open_[i])
+            put(i, (d, start, k))
+            start, n = start + k, n - k
+
+    for d, n in enumerate(sizes):
+        done += [[(d, i * size, size)] for i in range(n // size)]
+        if n % size:
+            if len(open_) < most:
+                put(choose([None, *(i for i, w in enumerate(open_) if fill(w) + n % size <= size)], n % size), (d, n - n % size, n % size))
+            else:
+                squeeze(d, n - n % size, n % size)
+    for k in range(size.bit_length() - 1):
+        done += [open_.pop(i) for i in reversed(range(len(open_))) if fill(open_[i]) == 1 << k]
+    while len(open_) > 1:
+        least = min(map(fill, open_))
+        for d, start, n in open_.pop(max(i for i, w in enumerate(open_) if fill(w) == least)):
+            squeeze(d, start, n)
+    return done, open_
+
+
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_placement_against_a_plain_loop(most):
+    rng = np.random.default_rng(5)
+    for size, n in ((8, 60), (64, 300), (64, 0), (16, 1)):
+        sizes = rng.integers(1, 2 * size + 9, n).tolist() if n > 1 else [5] * n
+        got = [[(d, at, len(ids) // 4) for d, at, ids, _ in w] for w in packing.pack([(i, bytes(4 * k), k) for i, k in enumerate(sizes)], size, most)]
+        want, left = plain_pack(sizes, size, most)
+        assert got[: len(want)] == want
+        lengths = [sum(k for _, _, k in w) for w in got[len(want) :]]
+        assert sum(lengths) == sum(k for w in left for _, _, k in w) < size and len(set(lengths)) == len(lengths) and all(k & (k - 1) == 0 for k in lengths)
+
+
+def test_small_tasks_are_packed_by_the_rule():
+    rng = np.random.default_rng(2)
+    sizes = np.minimum(rng.lognormal(5.5, 1.1, 250).astype(int) + 1, 20000).tolist()
+    got = list(packing.pack([(i, bytes(4 * k), k) for i, k in enumerate(sizes)]))
+    rest = [w for w in got if len(w) > 1 or len(w[0][2]) // 4 < 4096]
+    full = [w for w in rest if sum(len(p[2]) for p in w) == 4 * 4096]
+    assert sum(len(p[2]) for w in full for p in w) >= 0.9 * sum(len(p[2]) for w in rest for p in w)
+    pieces = Counter(p[0] for w in got for p in w)
+    assert sum(pieces.values()) - sum(-(-k // 4096) for k in sizes) <= len(got)  # a cut closes a window
 
 
 # 7. contamination
@@ -350,7 +352,7 @@ def test_myers_and_pigeonhole():
 
 def test_matches_against_brute_force(spark, empty):
     rng = np.random.default_rng(7)
-    items = [prose(rng, 12) for _ in range(6)] + ["tiny", "", None]
+    items = [prose(rng, 12) for _ in range(6)] + ["tiny", "", None, "Q", "two  words"]
     texts = []
     for i in range(30):
         body = prose(rng, 40)
@@ -360,7 +362,7 @@ def test_matches_against_brute_force(spark, empty):
                 it[int(rng.integers(0, len(it)))] = "#"
             body = body[:50] + "  " + "".join(it).upper() + "\n" + body[50:]
         texts.append(body)
-    texts += [None, ""]
+    texts += [None, "", "tiny", "a tinytiny", "is Tiny, or\tTINY\n", "q", "two\nwords", "two words.", "qq"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     d = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, edits int")
     want = set()
@@ -369,6 +371,8 @@ def test_matches_against_brute_force(spark, empty):
             n, m = contamination.normal(it), contamination.normal(t)
             if len(n) >= contamination.LEAST and m and plain_distance(n, m) <= int(contamination.RATE * len(n)):
                 want.add((i, j))
+            elif 0 < len(n) < contamination.LEAST and f" {n} " in f" {m} ":
+                want.add((i, j))
     got = contamination.matches(d, bench, block=4).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and len(want) > 8
     assert contamination.clean(d, bench).count() == len(texts) - len({i for i, _ in want})
