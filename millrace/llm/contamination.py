@@ -12,10 +12,11 @@ from millrace.llm import common as C
 
 #: Edits allowed for each character of an item. Pieces have 1 / RATE characters or so, whatever the item's length.
 RATE = 0.08
-#: Items shorter than this, once white space is squeezed, are not searched for: they would be found in any text.
+#: Items shorter than this, once white space is squeezed, match as they are only, between word bounds: with edits, or
+#: inside words, they would be found in any text.
 LEAST = 24
-#: Test items in one automaton; larger sets are searched in blocks of so many.
-BLOCK = 20_000
+#: Test items, and characters of them, in one automaton; larger sets are searched in blocks.
+BLOCK, BLOCK_CHARS = 20_000, 4_000_000
 
 
 def normal(text: str | None) -> str:
@@ -59,7 +60,8 @@ def myers(item: str, text: str) -> int:
 
 
 class Searcher:
-    """Finds every item that occurs in a text with at most floor(rate * length) edits."""
+    """Finds every item that occurs in a text with at most floor(rate * length) edits; items shorter than `least` as whole
+    words, without edits. Texts and short items stand between two spaces."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = LEAST):
         import ahocorasick
@@ -67,8 +69,10 @@ class Searcher:
         self.items, places = [], {}
         for item_id, text in items:
             t = normal(text)
-            if len(t) >= least:
-                k = int(rate * len(t))
+            if t:
+                k = int(rate * len(t)) if len(t) >= least else 0
+                if len(t) < least:
+                    t = f" {t} "
                 for a, p in pieces(t, k):
                     places.setdefault(p, []).append((len(self.items), a))
                 self.items.append((item_id, t, k))
@@ -82,7 +86,7 @@ class Searcher:
         """(item, edits), the least for each item found."""
         if not self.items or not text:
             return []
-        t = normal(text)
+        t = f" {normal(text)} "
         starts: dict = {}
         for end, (n, where) in self.automaton.iter(t):
             for i, a in where:
@@ -109,14 +113,16 @@ class Searcher:
         return out
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block: int = BLOCK) -> Iterator[list[tuple[int, str]]]:
-    """The stated query set in blocks of a bounded size, each with its own pass over the documents."""
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, block: int = BLOCK, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
+    """The stated query set in blocks of a bounded number and length, each with its own pass over the documents."""
     own: list = []
+    size = 0
     for r in benchmark.select(F.col(item_id).cast("long"), F.col(text).cast("string")).where(F.col(text).isNotNull()).toLocalIterator():
-        own.append((r[0], r[1]))
-        if len(own) == block:
+        if own and (len(own) == block or size + len(r[1]) > chars):
             yield own
-            own = []
+            own, size = [], 0
+        own.append((r[0], r[1]))
+        size += len(r[1])
     if own:
         yield own
 
@@ -125,9 +131,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, text_key, item_id, edits): the items each document holds, with the fewest edits found.
 
     Letters A-Z fold and white space is squeezed on both sides. An item of n characters may differ by floor(rate * n)
-    edits; it is cut into one piece more, one of which must occur exactly; each such place is verified. All of every
-    text is searched. Null and empty texts and items, and items shorter than `least`, match nothing; repeated rows
-    give a row each, as do items of one id. text_key is the hash of the text. No shuffle.
+    edits; it is cut into one piece more, one of which must occur exactly; each such place is verified. An item shorter
+    than `least` must occur as whole words, without edits. All of every text is searched. Null and blank texts and items
+    match nothing; repeated rows give a row each, as do items of one id. text_key is the hash of the text. No shuffle.
     """
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_key"), F.col(text).cast("string").alias("t"))
     schema = "doc_id long, text_key long, item_id long, edits int"
@@ -150,6 +156,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that hold no test item, all columns as they are."""
-    hit = matches(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(hit, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & F.xxhash64(F.col(text).cast("string")).eqNullSafe(F.col("__key")), "left_anti")
+    """The rows of `docs` that hold no test item, all columns as they are, whatever their names."""
+    mine, key = C.fresh(docs, "__id", "__key")
+    hit = matches(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias(mine), F.col("text_key").alias(key)).distinct()
+    return docs.join(hit, F.col(doc_id).cast("long").eqNullSafe(F.col(mine)) & F.xxhash64(F.col(text).cast("string")).eqNullSafe(F.col(key)), "left_anti")
