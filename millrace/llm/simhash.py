@@ -186,8 +186,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
     A doc_id that occurs in several rows counts as one document, and its first row by text stays. Rows without an id
     can't be named by a group and stay.
     """
-    got = near_duplicates(docs, doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.where(F.col(doc_id).isNotNull())
-    one = named.join(got, F.col(doc_id) == F.col("__keep"), "left_semi")
-    first = one.withColumn("__rank", F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))).where("__rank = 1").drop("__rank")
+    keep, rank = C.fresh(docs, "__keep", "__rank")
+    got = near_duplicates(docs, doc_id, text, **options).where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
+    one = docs.where(F.col(doc_id).isNotNull()).join(got, F.col(doc_id) == F.col(keep), "left_semi")
+    first = one.withColumn(rank, F.row_number().over(Window.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last()))).where(F.col(rank) == 1).drop(rank)
     return first.unionByName(docs.where(F.col(doc_id).isNull()))
