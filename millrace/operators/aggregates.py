@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,20 +88,19 @@ def apportion(df: DataFrame, group: list[str], order: list[Column], weight: str,
 
 
 def nested_mass(df: DataFrame, levels: list[str], out: str = "mass") -> DataFrame:
-    """Each row's share if mass is split evenly at every level of a nesting."""
-    p = F.lit(1.0)
-    for i, level in enumerate(levels):
-        w = Window.partitionBy(*levels[:i]) if i else None
-        n = F.size(F.collect_set(level).over(w)) if w is not None else None
-        if n is None:
-            total = df.select(F.countDistinct(level).alias("__top"))
-            df = df.crossJoin(F.broadcast(total))
-            n = F.col("__top")
-        df = df.withColumn(f"__n{i}", n)
-        p = p / F.col(f"__n{i}")
-    rows = F.count(F.lit(1)).over(Window.partitionBy(*levels))
-    out_df = df.withColumn(out, p / rows)
-    return out_df.drop("__top", *[f"__n{i}" for i in range(len(levels))])
+    """Each row's share if mass is split evenly at every level of a nesting. Counts are aggregates that combine before the
+    shuffle, each level's from the one below. Null levels are values like any other."""
+    same = lambda n: reduce(lambda x, y: x & y, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in levels[:n]])
+    paths = df.groupBy(*levels).agg(F.count(F.lit(1)).alias("__rows")).withColumn("__m", F.lit(1.0) / F.col("__rows"))
+    for i in range(len(levels), 0, -1):
+        per = paths.select(*levels[:i]).distinct().groupBy(*levels[: i - 1]).agg(F.count(F.lit(1)).alias("__c"))
+        if i == 1:
+            paths = paths.crossJoin(F.broadcast(per))  # one row
+        else:
+            paths = paths.alias("l").join(per.alias("r"), same(i - 1)).select("l.*", "r.__c")
+        paths = paths.withColumn("__m", F.col("__m") / F.col("__c")).drop("__c")
+    got = df.alias("l").join(paths.alias("r"), same(len(levels)))
+    return got.select("l.*", F.col("r.__m").alias(out))
 
 
 def exposure(df: DataFrame, p: str, cost: str) -> DataFrame:

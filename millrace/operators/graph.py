@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.windows import _folder
+from millrace.operators.windows import shared_folder
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) ->
     Labels spread over edges and jump to their own label's label, so that the rounds grow with the logarithm of the
     longest path. Each round is cut in the shared checkpoint folder.
     """
-    _folder(edges)
+    shared_folder(edges)
     both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"))
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().checkpoint(eager=True)
     labels = both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("label"))

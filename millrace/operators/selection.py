@@ -36,15 +36,12 @@ def select_filling(pool: DataFrame, group: list[str], order: str, budget: int) -
     return pool.join(kept, [*group, "id"], "left_semi")
 
 
-def _per_group(df: DataFrame, group: list[str], fn, schema: str) -> DataFrame:
-    return df.groupBy(*group).applyInPandas(fn, schema)
-
-
 def knapsack(df: DataFrame, group: list[str], budget: float, limit: int) -> DataFrame:
     """By value over cost, skipping what doesn't fit, at most `limit` items; if one item alone is worth more, that one.
-    Groups are packages of a bounded size: a group's (id, value, cost) are one row, and many rows are one batch."""
+    Groups are packages of a bounded size: a group's (id, value, cost) are one row, and many rows are one batch. Items with
+    a null id, value or cost are left out; ties go by id."""
     item = F.struct(F.col("id").cast("long").alias("id"), F.col("value").cast("double").alias("value"), F.col("cost").cast("double").alias("cost"))
-    rows = df.where(F.col("cost") <= budget).groupBy(*group).agg(F.collect_list(item).alias("__items"))
+    rows = df.where((F.col("cost") <= budget) & F.col("value").isNotNull() & F.col("id").isNotNull()).groupBy(*group).agg(F.collect_list(item).alias("__items"))
 
     @F.pandas_udf("array<long>")
     def pick(s: pd.Series) -> pd.Series:
@@ -62,59 +59,6 @@ def knapsack(df: DataFrame, group: list[str], budget: float, limit: int) -> Data
     return rows.select(*group, F.explode(pick("__items")).alias("id"))
 
 
-def facility_location(df: DataFrame, group: list[str], vector: str, budget: float) -> DataFrame:
-    """Greedy cover: the item with the largest gain of max(similarity - cover, 0) over cost, until none gains or fits."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.array(pdf[vector].tolist(), float)
-        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        sim, cost = np.maximum(x @ x.T, 0), pdf["cost"].to_numpy(float)
-        cover, left, keep = np.zeros(len(x)), float(budget), []
-        open_ = np.ones(len(x), bool)
-        while True:
-            gain = np.maximum(sim - cover[None, :], 0).sum(1) / np.maximum(cost, 1e-12)
-            gain[~open_ | (cost > left)] = -1
-            if not len(gain) or gain.max() <= 1e-12:
-                break
-            i = int(gain.argmax())
-            keep.append(i)
-            open_[i] = False
-            left -= cost[i]
-            cover = np.maximum(cover, sim[i])
-        out = pdf.iloc[keep]
-        return pd.DataFrame({**{g: out[g] for g in group}, "id": out["id"], "pick": np.arange(len(keep), dtype=np.int64)})
-
-    fields = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in group)
-    return _per_group(df.select(*group, "id", "cost", vector), group, pick, f"{fields}, id long, pick long")
-
-
-def residual_greedy(df: DataFrame, group: list[str], vector: str, budget: float, eta: float, gamma: float) -> DataFrame:
-    """Largest reduction of a residual over atoms for each token, overlap discounted; ties by cost, then id."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        z, cost = np.abs(np.array(pdf[vector].tolist(), float)), np.maximum(pdf["cost"].to_numpy(float), 1e-12)
-        z = z / np.maximum(z.sum(1, keepdims=True), 1e-12)
-        r, seen, left, keep = np.ones(z.shape[1]), np.zeros(z.shape[1]), float(budget), []
-        open_ = np.ones(len(z), bool)
-        while True:
-            score = ((1 - np.exp(-eta * z)) @ r) * np.exp(-gamma * z @ seen) / cost
-            score[~open_ | (cost > left)] = -np.inf
-            if not len(score) or not np.isfinite(score.max()):
-                break
-            i = int(np.lexsort((np.arange(len(z)), cost, -score))[0])
-            keep.append(i)
-            open_[i] = False
-            left -= cost[i]
-            r, seen = r * np.exp(-eta * z[i]), seen + z[i]
-        out = pdf.iloc[keep]
-        return pd.DataFrame({**{g: out[g] for g in group}, "id": out["id"], "pick": np.arange(len(keep), dtype=np.int64)})
-
-    fields = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in group)
-    return _per_group(df.select(*group, "id", "cost", vector), group, pick, f"{fields}, id long, pick long")
-
-
 def budget_distribution(values: np.ndarray, costs: np.ndarray, budget: float, tau: float) -> np.ndarray:
     """Probabilities exp((v - lambda c) / tau) whose expected cost is the budget at most; lambda by bisection."""
 

@@ -118,8 +118,12 @@ def mcnemar(counts: DataFrame, b: str, c: str) -> DataFrame:
 
 
 def gram(df: DataFrame, vector: str) -> np.ndarray:
-    """The d x d sum of outer products: one pass, d * d numbers to the driver whatever the rows."""
-    d = df.select(F.size(vector).alias("d")).first().d
+    """The d x d sum of outer products: one pass, d * d numbers to the driver whatever the rows. Vectors that are null or
+    hold nulls are left out; all others must have one length, that of the longest."""
+    df = df.where(F.col(vector).isNotNull() & ~F.exists(F.col(vector), lambda x: x.isNull()))
+    d = df.agg(F.max(F.size(vector)).alias("d")).first().d or 0
+    if not d:
+        return np.zeros((0, 0))
 
     def run(batches):
         g = np.zeros((d, d))
@@ -136,20 +140,29 @@ def gram(df: DataFrame, vector: str) -> np.ndarray:
 
 
 def pca(df: DataFrame, vector: str, k: int) -> np.ndarray:
-    """The first k right singular vectors, not centred, signs fixed by the largest entry; from the Gram matrix."""
-    w, v = np.linalg.eigh(gram(df, vector))
+    """The first k right singular vectors, not centred, signs fixed by the largest entry; from the Gram matrix. Fewer, if
+    vectors are shorter; none for an empty table."""
+    g = gram(df, vector)
+    if not g.size:
+        return np.zeros((0, 0))
+    w, v = np.linalg.eigh(g)
+    k = min(k, len(w))
     basis = v[:, np.argsort(-w)[:k]].T
     return basis * np.sign(basis[np.arange(k), np.abs(basis).argmax(1)])[:, None]
 
 
 def subspace_score(df: DataFrame, vector: str, basis: np.ndarray, out: str) -> DataFrame:
-    """Length of the projection on the basis over the length of the vector."""
+    """Length of the projection on the basis over the length of the vector; null for null vectors and those with nulls."""
     b = np.asarray(basis)
 
     @F.pandas_udf(T.DoubleType())
     def share(s: pd.Series) -> pd.Series:
-        x = np.array(s.tolist(), float)
-        return pd.Series(np.linalg.norm(x @ b.T, axis=1) / np.maximum(np.linalg.norm(x, axis=1), 1e-12))
+        ok = [v is not None and len(v) == b.shape[1] and not any(e is None for e in v) for v in s]
+        x = np.array([v for v, o in zip(s, ok, strict=True) if o], float).reshape(-1, max(1, b.shape[1]))
+        out = pd.Series([None] * len(s), dtype="float64")
+        if len(x):
+            out[np.array(ok)] = np.linalg.norm(x @ b.T, axis=1) / np.maximum(np.linalg.norm(x, axis=1), 1e-12)
+        return out
 
     return df.withColumn(out, share(vector))
 

@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _folder(df: DataFrame) -> None:
+def shared_folder(df: DataFrame) -> None:
+    """Cuts go to spark.checkpoint.dir. Only in local mode a folder is made where it is unset: executors elsewhere don't
+    see the driver's disk, and the job fails at once instead."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
 
 
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], ordinal: str | None = None) -> DataFrame:
@@ -20,7 +25,7 @@ def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], ord
     Rows are dealt by range of the order, which must be total, and cut in the shared folder so that a row's range is
     fixed. Ranges' totals, one row each, are summed in order and added to the running sums within a range.
     """
-    _folder(df)
+    shared_folder(df)
     names = df.columns
     ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
     for name, c in sums.items():
@@ -50,18 +55,96 @@ def take_until_spent(df: DataFrame, order: list[Column], cost: Column, budget: f
 
 
 def fill_within_budget(df: DataFrame, group: list[str], order: list[str], ident: str, cost: str, budget: int) -> DataFrame:
-    """For each group, rows in order with those skipped that no longer fit.
+    """For each group, rows in order (then by id) with those skipped that no longer fit.
 
-    The fold needs a group's (order, id, cost) in one row; rows dearer than the budget can never fit and are dropped
-    before. Groups are what is distributed.
+    Rows dearer than the budget can never fit and are dropped before. A group is read in order as a stream, of which only
+    the sum is in memory; groups are what is distributed. Null costs don't fit; null group keys are a group.
     """
-    ok = df.where(F.col(cost) <= budget).select(*group, F.struct(*order, F.col(ident).alias("__id"), F.col(cost).cast("long").alias("__cost")).alias("__r"))
-    rows = ok.groupBy(*group).agg(F.sort_array(F.collect_list("__r")).alias("__rows"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<long>").alias("kept"))
-    step = lambda s, r: F.when(
-        s["spent"] + r["__cost"] <= budget, F.struct((s["spent"] + r["__cost"]).alias("spent"), F.concat(s["kept"], F.array(r["__id"].cast("long"))).alias("kept"))).otherwise(s)
-    kept = rows.select(*group, F.explode(F.aggregate("__rows", start, step)["kept"]).alias(ident))
-    return kept
+    import pyarrow as pa
+
+    src = df.where(F.col(cost) <= budget).select(*group, F.col(ident).cast("long").alias(ident), F.col(cost).cast("long").alias("__cost"), *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order)])
+    dealt = src.repartition(*group).sortWithinPartitions(*group, *[f"__o{i}" for i in range(len(order))], ident).select(*group, ident, "__cost")
+    k = len(group)
+
+    def run(batches):
+        key, spent = None, 0
+        for b in batches:
+            keep = []
+            for *g, c in zip(*(b.column(i).to_pylist() for i in (*range(k), k + 1)), strict=True):
+                if g != key:
+                    key, spent = g, 0
+                keep.append(spent + c <= budget)
+                spent += c * keep[-1]
+            yield b.filter(pa.array(keep, pa.bool_())).select(list(range(k + 1)))
+
+    return dealt.mapInArrow(run, dealt.drop("__cost").schema)
+
+
+def carry_forward(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
+    """The last value that isn't null at or before each row of a global order, without one task that holds all rows:
+    rows are dealt by range and cut; what goes over from one range to the next is one value for each range."""
+    shared_folder(df)
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint(eager=True)
+    w = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    seq = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    ends = ranged.withColumn("__i", seq).where(F.col(value).isNotNull()).groupBy("__part").agg(F.max_by(value, "__i").alias("__end"))
+    parts = ranged.select("__part").distinct().join(ends, "__part", "left")
+    # one row for each range, not for each row of the table
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__part", F.last("__end", ignorenulls=True).over(before).alias("__before"))
+    return own.join(F.broadcast(parts), "__part").withColumn(out, F.coalesce(out, "__before")).drop("__part", "__before")
+
+
+def length_batches(df: DataFrame, ident: str, length: str, limit: str, prompt: str, budget: int, prompts: int) -> DataFrame:
+    """(limit, batch, id): batches of rows of one limit under a padded-token budget.
+
+    Rows go by length, then id. Rows of one prompt next to each other form a block, cut where one more row would take the
+    block over the budget (rows x (length + limit)), is more than twice as long as its first, or the block is as large as
+    the budget allows for the length of the prompt's first row. A batch takes the next block unless then its padded rows
+    exceed the budget, it has more than `prompts` prompts, or its width is more than twice its first row. A row that
+    exceeds the budget is a batch of its own. Null lengths and limits are left out.
+
+    A fold in order: rows of a limit are a stream in one task, of which a block and a batch are in memory.
+    """
+    import pyarrow as pa
+
+    src = df.select(F.col(limit).cast("long").alias("limit"), F.col(length).cast("long").alias("n"), F.col(ident).cast("long").alias("id"), F.col(prompt).cast("long").alias("p"))
+    dealt = src.where("limit is not null and n is not null").repartition("limit").sortWithinPartitions("limit", "n", "id")
+
+    def blocks(rows):
+        block, at, room = [], None, 0
+        for r in rows:
+            here = (r[0], r[3])
+            if here != at:
+                room = max(1, budget // max(1, r[0] + r[1]))
+            if block and (here != at or len(block) == room or (len(block) + 1) * (r[0] + r[1]) > budget or r[1] > 2 * block[0][1]):
+                yield block
+                block = []
+            at = here
+            block.append(r)
+        if block:
+            yield block
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        number, first, size, seen, limit, out = -1, 0, 0, set(), None, []
+        for block in blocks(rows):
+            top, width = block[0][0], block[-1][1]
+            if top != limit or len(seen | {block[0][3]}) > prompts or (size + len(block)) * (width + top) > budget or width > 2 * first:
+                number = 0 if top != limit else number + 1
+                limit, first, size, seen = top, block[0][1], 0, set()
+            size += len(block)
+            seen.add(block[0][3])
+            out += [(top, number, r[2]) for r in block]
+            if len(out) > 8192:
+                yield pa.RecordBatch.from_pylist([dict(zip(("limit", "batch", "id"), o, strict=True)) for o in out], schema=kinds)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(("limit", "batch", "id"), o, strict=True)) for o in out], schema=kinds)
+
+    kinds = pa.schema([(n, pa.int64()) for n in ("limit", "batch", "id")])
+    return dealt.mapInArrow(run, "limit long, batch long, id long")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

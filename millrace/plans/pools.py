@@ -141,23 +141,26 @@ def jn18(t):
     return connected_components(t.lineitem.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")), "a", "b")
 
 
-@query("jn19_derangement")
+@query("jn19_derangement", """
+WITH r AS (SELECT o_orderkey, o_orderpriority, o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey, sha256(concat('derange|', o_orderkey)), o_orderkey) - 1 AS at, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+c AS (SELECT o_orderpriority, max(c) AS m FROM (SELECT o_orderpriority, o_custkey, count(*) AS c FROM orders GROUP BY ALL) GROUP BY 1)
+SELECT a.o_orderkey, a.o_orderpriority, a.o_custkey, b.o_custkey AS dealt FROM r a JOIN c USING (o_orderpriority) JOIN r b ON a.o_orderpriority = b.o_orderpriority AND b.at = (a.at + CASE WHEN 2 * m <= a.n THEN m ELSE 1 END) % a.n WHERE a.n > 1""")
 def jn19(t):
-    """Right sides dealt anew so that no row keeps its own: a cyclic shift in hash order within each type."""
-    w = Window.partitionBy("o_orderpriority").orderBy(T.hash_rank_key("derange", "o_orderkey"), "o_orderkey")
-    d = t.orders.select("o_orderkey", "o_orderpriority", "o_custkey")
-    first = F.first("o_custkey").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return d.withColumn("dealt", F.coalesce(F.lead("o_custkey").over(w), first))
+    """Right sides dealt anew within a type so that no row gets an equal one."""
+    return J.derange(t.orders.select("o_orderkey", "o_orderpriority", "o_custkey"), "o_orderpriority", "o_orderkey", "o_custkey", "derange", "dealt")
 
 
 @query("jn20_binding_distance")
 def jn20(t):
-    """Least number of edits that match two lists of calls; see functions.calls."""
+    """An order's lines as calls, against the calls allowed for them; see functions.calls."""
     from millrace.functions.calls import binding_distance
 
-    l = t.lineitem  # noqa: E741
-    a = l.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_returnflag"))).alias("x"), F.sort_array(F.collect_list(F.col("l_linestatus"))).alias("y"))
-    return a.select("l_orderkey", binding_distance("x", "y").alias("distance"))
+    given = F.to_json(F.create_map(F.col("l_returnflag"), F.struct(F.col("l_linenumber").alias("at"), F.col("l_quantity").cast("long").alias("n"), F.col("l_linestatus").alias("status"))))
+    options = F.struct(F.array(F.col("l_linenumber") + 1).alias("at"), F.array(F.col("l_quantity").cast("long"), F.col("l_quantity").cast("long") + 2).alias("n"), F.array(F.lit("F"), F.lit("")).alias("status"), F.array(F.lit("")).alias("mode"))
+    allowed = F.to_json(F.create_map(F.when(F.col("l_linenumber") % 2 == 0, "R").otherwise(F.col("l_returnflag")), options))
+    whole = lambda c: F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(c)), ","), F.lit("]"))
+    a = t.lineitem.select("l_orderkey", given.alias("x"), allowed.alias("y")).groupBy("l_orderkey").agg(whole("x").alias("x"), whole("y").alias("y"))
+    return a.select("l_orderkey", F.round(binding_distance("x", "y"), 9).alias("distance"))
 
 
 @query("flt14_legal_candidates", """

@@ -46,11 +46,10 @@ def set5(t):
 
 @query("set6_rouge_filter")
 def set6(t):
-    """Sequential ROUGE-L filter within each language's shard of prompts; see operators.dedup."""
+    """Sequential ROUGE-L filter over all whole prompts; see operators.dedup."""
     from millrace.operators.dedup import rouge_filter
 
-    first = F.array_join(F.slice(F.split("text", " "), 1, 24), " ")
-    return rouge_filter(t.conversations.where("role = 'user'").select((F.col("conv_id") % 32).alias("shard"), "conv_id", "turn", first.alias("prompt")), ["shard"], ["conv_id", "turn"], "prompt", 0.7)
+    return rouge_filter(t.conversations.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt")), ["conv_id", "turn"], "prompt", 0.7).select("conv_id", "turn")
 
 
 @query("set7_prompt_dedup", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS rn FROM conversations WHERE role = 'user') WHERE rn = 1")
@@ -131,9 +130,29 @@ def smp11(t):
     return P.permute_within(t.documents.select("doc_id", "lang", "n_chars"), ["lang"], "doc_id", "n_chars", "perm", "permuted").select("doc_id", "permuted")
 
 
+@query("smp5_deficit_round_robin", """
+WITH p AS (SELECT doc_id, lang, source, n_chars % 997 AS parent, sha256(concat('deal|', doc_id)) AS h FROM documents), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY h, doc_id) AS r FROM p) WHERE r = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY h, doc_id) AS k FROM o), w AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k, source) AS turn FROM k)
+SELECT doc_id, lang, source FROM w ORDER BY (turn - 1) / CASE lang WHEN 'en' THEN 3.0 WHEN 'de' THEN 2.0 ELSE 1.0 END, k, source, turn LIMIT 60""")
+def smp5(t):
+    """Parents are disjoint by taking one row of each; languages weigh 3, 2 and 1."""
+    d = t.documents.select("doc_id", "lang", "source", (F.col("n_chars") % 997).alias("parent"))
+    return P.deficit_round_robin(d, "lang", "source", "parent", "doc_id", {"en": 3.0, "de": 2.0}, 60, "deal")
+
+
 @query("smp12_weighted_draws")
 def smp12(t):
-    return P.draw_with_replacement(t.customer.select("c_custkey", F.greatest("c_acctbal", F.lit(0.0)).alias("w")), "w", "c_custkey", 200, "draw")
+    return P.draw_with_replacement(t.customer.select("c_custkey", F.floor(F.greatest("c_acctbal", F.lit(0.0)) * 100).cast("long").alias("w")), "w", "c_custkey", 200, "draw")
+
+
+@query("smp14_permutation_test", """
+WITH d AS (SELECT doc_id AS u, quality AS y, n_chars::DOUBLE AS v FROM documents JOIN labels USING (doc_id)), n AS (SELECT sum(y) AS n1, count(*) AS n, sum(v) AS s, avg(v) FILTER (WHERE y = 1) - avg(v) FILTER (WHERE y = 0) AS o FROM d),
+r AS (SELECT round, v, row_number() OVER (PARTITION BY round ORDER BY sha256(concat('perm|', round, '|', u)), u) AS k FROM d, (SELECT unnest(range(40)) AS round)), p AS (SELECT round, sum(v) AS s1 FROM r, n WHERE k <= n1 GROUP BY round),
+a AS (SELECT count(*) AS rounds, count(*) FILTER (WHERE abs(s1 / n1 - (s - s1) / (n - n1)) >= abs(o) - 1e-12) AS at_least, max(o) AS o FROM p, n)
+SELECT round(o, 4) AS observed, at_least, rounds, (at_least + 1.0) / (rounds + 1) AS p_value FROM a""")
+def smp14(t):
+    d = t.documents.select("doc_id", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id")
+    return P.permutation_test(d, "doc_id", "quality", "n_chars", 40, "perm").withColumn("observed", F.round("observed", 4))
 
 
 @query("smp13_cluster_bootstrap")

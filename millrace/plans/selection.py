@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import greedy as R
 from millrace.operators import selection as S
 from millrace.operators import windows as W
 from millrace.plans.registry import query
@@ -156,21 +159,9 @@ def win19(t):
 
 @query("win18_length_batches")
 def win18(t):
-    """Batches under a padded-token budget, for each language; the fold is by group and needs ids and lengths alone."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "doc_id"])
-        batch, size, out, first = 0, 0, [], 0
-        for n in pdf["n"]:
-            if size and ((size + 1) * n > 16384 or size >= 64 or n > 2 * first):
-                batch, size = batch + 1, 0
-            first = n if not size else first
-            size += 1
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    return t.documents.select("lang", "doc_id", F.ceil(F.col("n_chars") / 4).cast("long").alias("n")).groupBy("lang").applyInPandas(fold, "lang string, doc_id long, n long, batch long")
+    """Texts of a source are a prompt's rows; the limit is by language."""
+    d = t.documents.select("doc_id", F.ceil(F.col("n_chars") / 4).cast("long").alias("n"), (F.length("lang") * 64 + F.ascii("lang")).cast("long").alias("limit"), F.expr("doc_id div 3").alias("prompt"))
+    return W.length_batches(d, "doc_id", "n", "limit", "prompt", 16384, 24)
 
 
 @query("top1_stable_order", "SELECT doc_id, rank FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 50")
@@ -195,14 +186,75 @@ def top2(t):
     return out
 
 
+def offers(t):
+    """embeddings as a pool: loadings are the positive parts of the vector, costs and scores come from the ids."""
+    loads = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.greatest(x, F.lit(0.0)))
+    return t.embeddings.select(F.col("vec_id").alias("id"), (1 + F.col("vec_id") % 7).cast("double").alias("cost"), loads.alias("x"), F.pmod(F.col("vec_id") * 37, F.lit(101)).cast("double").alias("score"), "label")
+
+
+DEMAND = [1.0 + k % 5 for k in range(64)]
+
+
 @query("top4_facility_location")
 def top4(t):
-    return S.facility_location(t.embeddings.select((F.col("vec_id") % 16).alias("shard"), F.col("vec_id").alias("id"), F.lit(1.0).alias("cost"), "embedding"), ["shard"], "embedding", 5)
+    """Greedy cover of 64 stated directions over the whole table, then a top-up by score."""
+    return R.cover(offers(t), "id", F.col("cost"), "x", F.col("score"), 150.0)
+
+
+@query("top5_market_clearing")
+def top5(t):
+    return R.market(offers(t), "id", F.col("cost"), "x", DEMAND, 150.0, F.col("score"))
 
 
 @query("top6_residual_greedy")
 def top6(t):
-    return S.residual_greedy(t.embeddings.select((F.col("vec_id") % 16).alias("shard"), F.col("vec_id").alias("id"), F.lit(1.0).alias("cost"), "embedding"), ["shard"], "embedding", 8, 1.0, 0.5)
+    return R.residual(offers(t), "id", F.col("cost"), "x", DEMAND, 150.0, 0.25, 1.0)
+
+
+@query("top6_residual_replay", """
+WITH e AS (SELECT generate_subscripts(embedding, 1) - 1 AS atom, greatest(unnest(embedding)::DOUBLE, 0) AS z FROM embeddings WHERE vec_id % 7 = 0)
+SELECT atom::INT AS atom, 1.0 + atom % 5 AS before, round((1.0 + atom % 5) * exp(sum(ln(1 - 0.25 * z))), 6) AS after FROM e GROUP BY atom""")
+def top6_replay(t):
+    """What the rows of cost one leave of the residual, whatever their order."""
+    return R.residual_after(offers(t).where("cost = 1"), "x", DEMAND, 0.25).withColumn("after", F.round("after", 6))
+
+
+@query("top7_policies")
+def top7(t):
+    """Offline policies on one pool and budget: what each takes, skipping what doesn't fit."""
+    p = offers(t)
+    took = {
+        "random": R.fill(p, "id", F.col("cost"), -F.conv(F.substring(T.hash_rank_key("policy", "id"), 1, 12), 16, 10).cast("double"), 60.0), "score": R.fill(p, "id", F.col("cost"), F.col("score"), 60.0),
+        "density": R.fill(p, "id", F.col("cost"), F.col("score"), 60.0, density=True), "cheapest": R.fill(p, "id", F.col("cost"), -F.col("cost"), 60.0), "cover": R.cover(p, "id", F.col("cost"), "x", F.col("score"), 60.0),
+        "market": R.market(p, "id", F.col("cost"), "x", DEMAND, 60.0, F.col("score")), "residual": R.residual(p, "id", F.col("cost"), "x", DEMAND, 60.0),
+    }
+    return reduce(DataFrame.unionByName, [d.select(F.lit(k).alias("policy"), "pick", "id", "cost") for k, d in took.items()])
+
+
+@query("top17_metered_rounds")
+def top17(t):
+    """A quote is the cost, what is paid differs from it, and every fifth row is paid and not accepted."""
+    p = offers(t).withColumn("paid", F.col("cost") * (0.5 + (F.col("id") % 4) / 2.0))
+    return R.metered(p, "id", F.col("cost"), "paid", "x", DEMAND, 150.0, F.col("id") % 5 != 0)
+
+
+@query("top19_probe_uncertainty", """
+WITH e AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS atom, greatest(unnest(embedding)::DOUBLE, 0) AS z FROM embeddings),
+g AS (SELECT atom, label, sum(z) AS s, count(*) AS n FROM e GROUP BY 1, 2), l AS (SELECT atom, label, s, sum(s) OVER (PARTITION BY atom) AS ts, (sum(s) OVER (PARTITION BY atom) - s) / (sum(n) OVER (PARTITION BY atom) - n) AS m FROM g)
+SELECT atom::INT AS atom, round(stddev_pop(m), 9) AS uncertainty, round(max(s / ts), 9) AS anchor_share FROM l GROUP BY atom ORDER BY stddev_pop(m) DESC, atom LIMIT 5""")
+def top19(t):
+    got = R.probe_uncertainty(offers(t), "label", "x", 5)
+    return got.select("atom", F.round("uncertainty", 9).alias("uncertainty"), F.round("anchor_share", 9).alias("anchor_share"))
+
+
+@query("top21_deficit_order", """
+WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, greatest(unnest(embedding)::DOUBLE, 0) AS z FROM embeddings), d AS (SELECT k, avg(z) AS m FROM e WHERE vec_id % 10 = 3 GROUP BY k)
+SELECT vec_id AS id, round(sum(z * m), 6) AS deficit_score FROM e JOIN d USING (k) WHERE vec_id % 10 <> 3 GROUP BY vec_id""")
+def top21(t):
+    """Rows by how far they serve the mean loadings of failed rows (ids that end in 3)."""
+    p = offers(t)
+    got = R.by_deficit(p.where("id % 10 <> 3"), "x", R.deficit(p.where("id % 10 = 3"), "x"))
+    return got.select("id", F.round("deficit_score", 6).alias("deficit_score"))
 
 
 @query("top8_knapsack")

@@ -25,9 +25,19 @@ def _names(schema: str) -> list[str]:
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line, value): non-blank lines with their place. Files aren't split, so that a line's number is known."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    return raw.where("trim(value) <> ''").select("file", (F.col("pos") + 1).alias("line"), "value")
+    """(file, line, value): non-blank lines with their place, from 1. Large files are split: a line's number is its place in
+    its split and the lines of the splits before it, which are one row each."""
+    from millrace.operators.windows import shared_folder
+
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__i"), "value")
+    shared_folder(raw)
+    raw = raw.checkpoint(eager=True)
+    per = raw.groupBy("file", "__from").agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("file", "__from", "__first", before.alias("__before"))
+    # the rows of a split have consecutive numbers
+    placed = raw.join(F.broadcast(per), ["file", "__from"]).select("file", (F.col("__before") + F.col("__i") - F.col("__first") + 1).alias("line"), "value")
+    return placed.where("trim(value) <> ''")
 
 
 def strict_jsonl(spark: SparkSession, path: str | list[str], schema: str, required: list[str], defaults: dict | None = None, closed: bool = False) -> DataFrame:
@@ -65,8 +75,8 @@ def tolerant_jsonl(spark: SparkSession, path: str | list[str], schema: str, requ
 
 
 def array_or_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one JSON array or JSON lines; its first mark decides."""
-    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
+    """A file that is one JSON array or JSON lines; the mark that its first line with text begins with decides."""
+    first = spark.read.text(path).where("trim(value) <> ''").select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
     return spark.read.schema(schema).option("multiLine", bool(first and first.c == "[")).json(path)
 
 
@@ -83,13 +93,33 @@ def extend(base: DataFrame, more: DataFrame | None) -> DataFrame:
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger rows with the defaults of older ones; no file gives no rows."""
+    """Ledger rows with the defaults of older ones; no file gives no rows. A row that is verified without a demonstration, or
+    has one without being verified, fails the scan, as do negative attempts and costs."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(conf).exists(p):
         return spark.createDataFrame([], LEDGER)
-    got = spark.read.schema(LEDGER).json(path)
-    return got.fillna({"purpose": "teacher", "prompt_version": "v1"})
+    got = spark.read.schema(LEDGER).json(path).fillna({"purpose": "teacher", "prompt_version": "v1"})
+    bad = F.when(F.col("verified") != F.col("demo").isNotNull(), "verified and demo disagree").when((F.col("attempt_index") < 0) | (F.col("tokens_spent") < 0), "negative count")
+    return got.withColumn("task_id", F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("ledger row of "), F.coalesce("task_id", F.lit("?")), F.lit(": "), bad))).otherwise(F.col("task_id")))
+
+
+def episodes(spark: SparkSession, files: str, schema: str, least_turn: int = 0) -> DataFrame:
+    """Rows of <teacher>/train.jsonl or the like (`files` is a pattern), the teacher from the file's folder, which may be
+    named teacher=<teacher>; from a turn on. `schema` has turn_index; rows without one are left out."""
+    got = spark.read.schema(schema).option("basePath", files.split("/*")[0]).json(files)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return got.withColumn("teacher", F.url_decode(F.regexp_replace(folder, "^teacher=", ""))).where(F.col("turn_index") >= least_turn)
+
+
+def frozen(spark: SparkSession, path: str, digest: str) -> DataFrame:
+    """A table whose content is bound by a digest (see sinks.content_hash); other content is an error."""
+    from millrace.sources.sinks import content_hash
+
+    got = spark.read.parquet(path)
+    if content_hash(got) != digest:
+        raise ValueError(f"{path} is not what the manifest says")
+    return got
 
 
 def score_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

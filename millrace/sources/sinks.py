@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,19 +44,19 @@ def manifest(selected: DataFrame, scores: list[str]) -> tuple[DataFrame, DataFra
     return selected.select(*public, *[F.col(s).alias(s.lstrip("_")) for s in scores if s not in public]), audit
 
 
-def cyclic(records: DataFrame, ident: str, dependencies: str, rounds: int = 50) -> DataFrame:
-    """Ids that lie on, or depend on, a cycle: what is left when ids without open dependencies are taken away in turn."""
-    from millrace.operators.windows import _folder
+def cyclic(records: DataFrame, ident: str, dependencies: str) -> DataFrame:
+    """Ids that lie on, or depend on, a cycle: what is left when ids without open dependencies are taken away in turn,
+    until none is. Dependencies on ids that aren't there are met; null ids are left out."""
+    from millrace.operators.windows import shared_folder
 
-    _folder(records)
-    edges = records.select(F.col(ident).alias("x"), F.explode_outer(dependencies).alias("d"))
-    left = edges.checkpoint(eager=True)
+    shared_folder(records)
+    left = records.select(F.col(ident).alias("x"), F.explode_outer(dependencies).alias("d")).where("x is not null").distinct().checkpoint(eager=True)
     n = left.count()
-    for _ in range(rounds):
+    while n:
         stuck = left.join(left.select(F.col("x").alias("d")).distinct(), "d", "left_semi").select("x", "d").checkpoint(eager=True)
         m = stuck.count()
-        if m in (0, n):
-            return stuck.select(F.col("x").alias(ident)).distinct()
+        if m == n:
+            break
         left, n = stuck, m
     return left.select(F.col("x").alias(ident)).distinct()
 
@@ -69,11 +69,35 @@ def seal(records: DataFrame, ident: str, body: str, dependencies: str, root: str
     records.select(ident, body).write.mode("errorifexists").parquet(f"{root}/sealed")
 
 
-def chained(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """Rows with the digest of their own content and of the row before: what an appended journal records."""
-    own = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in columns]), 256)
-    d = df.withColumn("content_hash", own)
-    return d.withColumn("previous_hash", F.coalesce(F.lag("content_hash").over(Window.orderBy(order)), F.lit("")))
+def chained(df: DataFrame, journal: str, order: str, columns: list[str]) -> DataFrame:
+    """Rows of journals with previous_hash and event_hash, the SHA-256 of the row before's hash and the row's own columns
+    (canonical JSON of strings; nulls as they are): what an appended journal records. `order` must be total in a journal.
+
+    A chain is sequential by nature: a journal is read in order by one task, of which only the last hash is in memory.
+    """
+    import hashlib
+    import json
+
+    import pyarrow as pa
+
+    names = df.columns
+    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"})
+    src = df.withColumn("__own", text).repartition(journal).sortWithinPartitions(journal, order)
+    at, own = names.index(journal), len(names)
+
+    def run(batches):
+        key, before = None, ""
+        for b in batches:
+            previous, mine = [], []
+            for k, t in zip(b.column(at).to_pylist(), b.column(own).to_pylist(), strict=True):
+                if k != key or not mine and not previous and key is None:
+                    key, before = k, ""
+                previous.append(before)
+                before = hashlib.sha256((before + json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)).encode()).hexdigest()
+                mine.append(before)
+            yield pa.RecordBatch.from_arrays([*b.columns[:own], pa.array(previous, pa.string()), pa.array(mine, pa.string())], names=[*names, "previous_hash", "event_hash"])
+
+    return src.mapInArrow(run, df.schema.add("previous_hash", "string").add("event_hash", "string"))
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
@@ -87,6 +111,14 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
 
 
 def latex(df: DataFrame, most: int = 1000) -> str:
-    rows = df.limit(most).collect()
+    """The same as rows of a LaTeX table."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
     cell = lambda v: "--" if v is None else str(v).replace("_", "\\_").replace("%", "\\%").replace("&", "\\&")
     return "\n".join(" & ".join(cell(v) for v in r) + r" \\" for r in rows)
+
+
+def csv(df: DataFrame, path: str) -> None:
+    """A report as CSV with a header; nulls are N/A."""
+    df.write.mode("errorifexists").option("header", True).option("nullValue", "N/A").csv(path)

@@ -1,6 +1,7 @@
 """Invariants and edge cases of the reference's operators."""
 
 import hashlib
+import itertools
 import json
 import math
 
@@ -83,13 +84,28 @@ def test_components(spark):
 
 
 def test_rouge_filter_keeps_the_first(spark):
-    d = spark.createDataFrame([(1, 0, "a b c d e f"), (1, 1, "a b c d e g"), (1, 2, "x y z"), (1, 3, None)], "s long, i long, t string")
-    assert sorted(r.i for r in dedup.rouge_filter(d, ["s"], ["i"], "t", 0.7).collect()) == [0, 2, 3]
+    rng = np.random.default_rng(5)
+    texts = ["a b c d e f", "a b c d e g", "x y z", None, "", "x y z", " x  y z "]
+    texts += [" ".join(rng.choice(list("abcdefghijklmnop"), 12)) for _ in range(20)]
+    for _ in range(60):
+        w = texts[int(rng.integers(7, len(texts)))].split()
+        w[int(rng.integers(0, len(w)))] = "new%d" % rng.integers(0, 9)
+        texts.append(" ".join(w[int(rng.integers(0, 3)) :]))
+    kept, want = [], []
+    for i, t in enumerate(texts):
+        ws = (t or "").split()
+        if not any(dedup.rouge_l(k, ws) > 0.7 for k in kept):
+            kept.append(ws)
+            want.append(i)
+    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "i long, t string, at int").repartition(5)
+    got = dedup.rouge_filter(d, ["i"], "t", 0.7)
+    assert sorted(r.i for r in got.collect()) == want and got.columns == d.columns and len(want) < 60
+    assert dedup.rouge_filter(d.limit(0), ["i"], "t", 0.7).count() == 0
 
 
 def test_knapsack_and_dual(spark):
     d = spark.createDataFrame([(1, 1, 10.0, 10.0), (1, 2, 6.0, 5.0), (1, 3, 1.0, 1.0)], "g long, id long, value double, cost double")
-    assert [r.id for r in selection.knapsack(d, ["g"], 10, 5).collect()] == [1]
+    assert [r.id for r in selection.knapsack(d.unionByName(spark.createDataFrame([(1, 4, None, 1.0), (1, 5, 9.0, None)], d.schema)), ["g"], 10, 5).collect()] == [1]
     p = selection.budget_distribution(np.array([1.0, 2.0, 3.0]), np.array([1.0, 5.0, 20.0]), 4.0, 0.5)
     assert abs(p.sum() - 1) < 1e-9 and p @ [1, 5, 20] <= 4 + 1e-6
 
@@ -107,14 +123,90 @@ def test_text_functions(spark):
     assert [r[0] for r in s.select(T.leading_score("t")).collect()] == [4.5, None, None]
 
 
-def test_calls_and_lexer():
-    assert calls.assignment(["a", "b"], ["b", "c", "a"]) == 1
-    assert calls.single_statement("select ';' from t -- x;\n;") and not calls.single_statement("select 1; select 2") and not calls.single_statement("select (1")
+def test_calls():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 4, 6):
+        c = rng.random((n, n)).round(2).tolist()
+        assert abs(calls.assignment(c) - min(sum(c[i][p] for i, p in enumerate(o)) for o in itertools.permutations(range(n)))) < 1e-9
+    assert calls.binding([], []) == 0 and calls.binding(None, [{"f": {}}]) == 1 and calls.binding([{"f": {}}], [{"f": {}}, {"g": {}}]) == 1
+    assert calls.binding([{"f": {"a": 1}}, {"g": {"b": "x"}}], [{"g": {"b": ["y", "x"]}}, {"f": {"a": [3]}}]) == pytest.approx((2 / 3) / 2)
+    assert calls.binding([{"f": {}}], [{"f": {"a": [1, ""], "b": [2]}}]) == 0.5 and calls.binding([{"f": {"a": True}}], [{"f": {"a": [1]}}]) == 1
+    assert calls.binding([{"f": {}}] * 13, [{"f": {}}] * 13) is None and calls.binding([{"f": {}}] * 12, [{"f": {}}] * 12) == 0
     assert calls.canonical_json('{"b": 1, "a": "é"}') == '{"a":"é","b":1}' and calls.canonical_json("{") is None
     assert calls.compiles("x = 1") and not calls.compiles("x =")
     assert calls.spans_of("The cat sat. the CAT", "the cat") == [(0, 7), (13, 20)]
 
 
+def test_single_statements(spark):
+    one = ["select ';' from t -- x;\n;", "select 1;;", "; select 1", "select [a;b] from t", "select (1", 'select "a;""b;" , `c;`', "/* a;b */ select 1", "select 'it''s; ok'", "x -- '", "'", "select 1 -- /* open", "''", "]", "a */ b", "/* ' */ 'a;b'"]
+    many = ["select 1; select 2", "", " ;; ", "-- only", "/* open", "select 'open", 'select "open', "select [open", "a /* b */ ; c", "[a]];b", "select 1 /* x */; /* y */ ; '2'"]
+    one.remove("'")
+    many += ["'"]
+    d = spark.createDataFrame([(i, s) for i, s in enumerate([*one, *many, None])], "i long, s string")
+    got = {r.i: r.v for r in d.select("i", calls.is_single_statement("s").alias("v")).collect()}
+    assert [got[i] for i in range(len(got))] == [True] * len(one) + [False] * len(many) + [None]
+    long = spark.createDataFrame([("select '" + "a''" * 50000 + "'; ",)], "s string")
+    assert long.select(calls.is_single_statement("s")).first()[0]
+
+
+def test_derangement(spark):
+    for classes, free in (([5, 4, 3], True), ([6, 3, 3], True), ([8, 1, 1], False), ([1], False), ([2], False), ([1, 1], True)):
+        rows = [(f"t{len(classes)}", 100 * c + i, c) for c, n in enumerate(classes) for i in range(n)]
+        got = J.derange(spark.createDataFrame(rows, "k string, i long, v int").repartition(3), "k", "i", "v", "s", "dealt").collect()
+        assert len(got) == len(rows) and (len(rows) == 1 or sorted(r.dealt for r in got) == sorted(r[2] for r in rows))
+        assert not free or all(r.v != r.dealt for r in got)
+
+
+def test_nearest_against_all(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40, 5))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (93, [0.0] * 5), (92, [1.0, None, 0.0, 0.0, 0.0])], "i long, v array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for rows in (3, 100):
+        got = {r.i: r.max_cosine for r in J.nearest(d, d.where("i % 7 = 0"), "i", "v", "i", "v", rows).collect()}
+        assert all(abs(got[i] - (u[i] @ u[::7].T).max()) < 1e-9 for i in range(40)) and got[90] is None and got[92] is None and got[93] == 0
+    assert J.nearest(d, d.limit(0), "i", "v", "i", "v").where("max_cosine is not null").count() == 0
+
+
+def test_draws_against_a_loop(spark):
+    w = [3, 0, 5, None, 2, 7, 1]
+    d = spark.createDataFrame(list(enumerate(w)), "i long, w long")
+    got = {r.draw: r.i for r in sampling.draw_with_replacement(d, "w", "i", 60, "s").collect()}
+    ends = np.cumsum([x or 0 for x in w])
+    for k in range(60):
+        x = int(hashlib.sha256(f"s|{k}".encode()).hexdigest()[:8], 16) / 2**32 * ends[-1]
+        assert got[k] == int(np.searchsorted(ends, x, side="right"))
+    assert len(got) == 60 and sampling.draw_with_replacement(d.where("w = 0"), "w", "i", 5, "s").count() == 0
+
+
+def test_length_batches_against_a_plain_planner(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, int(rng.integers(1, 60)), int(rng.choice([10, 50])), int(rng.integers(0, 40))) for i in range(300)] + [(900, 5000, 10, 99), (901, None, 10, 1)]
+    budget, prompts = 400, 4
+    want, number = [], {}
+    for limit in (10, 50):
+        own = sorted((n, i, p) for i, n, l, p in rows if l == limit and n is not None)
+        blocks = []
+        for _, run in itertools.groupby(own, key=lambda r: r[2]):
+            run = list(run)
+            room, block = max(1, budget // (run[0][0] + limit)), []
+            for r in run:
+                if block and (len(block) == room or (len(block) + 1) * (r[0] + limit) > budget or r[0] > 2 * block[0][0]):
+                    blocks.append(block)
+                    block = []
+                block = [*block, r]
+            blocks.append(block)
+        batches = [[]]
+        for b in blocks:
+            both = batches[-1] + b
+            if batches[-1] and (len({r[2] for r in both}) > prompts or len(both) * (max(r[0] for r in both) + limit) > budget or max(r[0] for r in both) > 2 * batches[-1][0][0]):
+                batches.append([])
+            batches[-1] += b
+        want += [(limit, k, r[1]) for k, b in enumerate(batches) for r in b]
+    d = spark.createDataFrame(rows, "i long, n long, l long, p long").repartition(4)
+    assert sorted(map(tuple, W.length_batches(d, "i", "n", "l", "p", budget, prompts).collect())) == sorted(want)
+
+
 def test_reservations_stream_equals_batch(spark, tmp_path):
     rows = [(1, 0, "reserve", 5.0), (1, 1, "reserve", 5.0), (1, 2, "settle", 4.0), (1, 3, "settle", 3.0), (2, 0, "settle", 1.0), (2, 4, "reserve", 2.0), (2, 5, "release", 0.0), (2, 5, "release", 0.0)]
     schema = "key long, sequence long, kind string, amount double"
@@ -174,7 +266,28 @@ def test_sinks(spark, tmp_path):
     assert readers.sealed(index, sealed, index.where("id = 'a'"), "id", "body", "digest").collect()[0].body == "x"
     with pytest.raises(ValueError):
         sinks.seal(spark.createDataFrame([("a", "x", ["b"]), ("b", "y", ["a"])], d.schema), "id", "body", "deps", str(tmp_path / "bad"))
-    assert sinks.markdown(d.select("id")).count("\n") == 3
+    assert sinks.markdown(d.select("id")).count("\n") == 3 and sinks.latex(d.select("id")).count("\n") == 1
+    with pytest.raises(ValueError):
+        sinks.latex(spark.range(20), 10)
+
+
+def test_cycles_and_long_chains(spark):
+    chain = [(str(i), [str(i + 1)]) for i in range(70)]
+    d = spark.createDataFrame([*chain, ("70", None)], "id string, deps array<string>")
+    assert sinks.cyclic(d, "id", "deps").count() == 0
+    e = d.unionByName(spark.createDataFrame([("70", ["69"]), ("x", ["nowhere"]), (None, ["0"])], d.schema))
+    assert {r.id for r in sinks.cyclic(e, "id", "deps").collect()} == {str(i) for i in range(71)}
+
+
+def test_chained_rows(spark):
+    rows = [(j, i, f"body {i}", None) for j in ("a", "b") for i in range(40)]
+    d = spark.createDataFrame(rows, "j string, i long, body string, extra string").repartition(3)
+    got = sorted(sinks.chained(d, "j", "i", ["i", "body", "extra"]).collect())
+    before = {"a": "", "b": ""}
+    for r in got:
+        own = json.dumps({"i": str(r.i), "body": r.body, "extra": None}, sort_keys=True, separators=(",", ":"))
+        assert r.previous_hash == before[r.j] and r.event_hash == hashlib.sha256((before[r.j] + own).encode()).hexdigest()
+        before[r.j] = r.event_hash
 
 
 def test_page_parser():

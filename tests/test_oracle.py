@@ -45,8 +45,3 @@ def test_query(spark, duck, name):
     want = cur.fetchall()
     assert sorted(names) == sorted(got.columns)
     assert rows(got.columns, got.collect()) == rows(names, want)
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, FOLDER).count() > 0
