@@ -90,10 +90,12 @@ def build_tree(sample: np.ndarray, leaves: int, radius: int) -> list[tuple]:
     return nodes
 
 
-def route(nodes: list[tuple], points: np.ndarray, radius: int):
-    """Yields (leaf, indexes at home there, indexes that only query it). A query goes to both sides of a split if the
-    triangle bound |d(query, vantage) - mu| lets a point within `radius` lie on either."""
-    stack = [(0, np.arange(len(points)), np.empty(0, np.int64))]
+def route(nodes: list[tuple], points: np.ndarray, radius: int, own: np.ndarray | None = None):
+    """Yields (leaf, indexes at home there, indexes that only query it) of points, of which those that are not `own` only
+    query. A query goes to both sides of a split if the triangle bound |d(query, vantage) - mu| lets a point within
+    `radius` lie on either."""
+    own = np.ones(len(points), bool) if own is None else own
+    stack = [(0, np.flatnonzero(own), np.flatnonzero(~own))]
     while stack:
         at, home, ask = stack.pop()
         if not len(home) and not len(ask):
@@ -125,34 +127,64 @@ def forest(group: dict, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return points[linked].view(np.int64), points[labels[linked]].view(np.int64)
 
 
-def links(classes: DataFrame, radius: int = 2, leaf_rows: int = 2048, sample_rows: int = 20000, max_leaves: int = 4096, block: int = 2048) -> DataFrame:
+def links(classes: DataFrame, radius: int = 2, leaf_rows: int = 2048, sample_rows: int = 20000, max_leaves: int = 4096, block: int = 2048, levels: int = 4) -> DataFrame:
     """Edges (a, b) that connect all distinct fingerprints `__fp` within `radius` bits.
 
-    The tree is built on the driver from at most `sample_rows` fingerprints, chosen by hash; it decides only where
-    points meet, not what is found. Every fingerprint is at home in one leaf and asks in each leaf the triangle bound
-    leaves open; leaves are dealt into blocks, so that dense ones aren't one task.
+    A tree is built on the driver from at most 2 * `sample_rows` fingerprints, chosen by hash; then, level by level, leaves
+    that still hold over four times `leaf_rows` get trees of their own, at most `max_leaves` of them at once and from at
+    most 1024 of their fingerprints each. Trees decide only where points meet, not what is found: every fingerprint is at
+    home in one leaf and asks in each leaf the triangle bound leaves open. Leaves that no split helps are dealt into blocks,
+    so that dense ones aren't one task.
     """
     spark = classes.sparkSession
     classes = classes.select("__fp")
+    schema = "__leaf long, __home boolean, __fp long"
     n = classes.count()
     take = max(1, -(-n // sample_rows))
     rows = classes.where(F.pmod(F.xxhash64("__fp"), F.lit(take)) == 0).limit(2 * sample_rows).collect()
     sample = np.unique(np.array([r[0] for r in rows], np.int64)).view(np.uint64)
-    nodes = build_tree(sample, min(max_leaves, -(-n // leaf_rows)), radius)
+    trees = {0: build_tree(sample, min(max_leaves, -(-n // leaf_rows)), radius)}
+    wide = max_leaves
 
-    def deal(batches):
+    def deal(batches, trees, wide):
+        """Points of a leaf that has a tree go on to that tree's leaves; others stay."""
         for b in batches:
-            points = b.column(0).to_numpy().view(np.uint64)
-            for leaf, home, ask in route(nodes, points, radius):
-                for idx, own in ((home, True), (ask, False)):
-                    if len(idx):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), leaf, np.int32)), pa.array(np.full(len(idx), own)), pa.array(points[idx].view(np.int64))], names=["__leaf", "__home", "__fp"])
+            leaf, home = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            points = b.column(2).to_numpy().view(np.uint64)
+            for at in np.unique(leaf):
+                mine = np.flatnonzero(leaf == at)
+                parts = route(trees[at], points[mine], radius, home[mine]) if at in trees else [(0, np.flatnonzero(home[mine]), np.flatnonzero(~home[mine]))]
+                for sub, own, ask in parts:
+                    for idx, here in ((own, True), (ask, False)):
+                        if len(idx):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), at * wide + sub)), pa.array(np.full(len(idx), here)), pa.array(points[mine[idx]].view(np.int64))], names=["__leaf", "__home", "__fp"])
+
+    placed = classes.select(F.lit(0).cast("long").alias("__leaf"), F.lit(True).alias("__home"), "__fp")
+    for level in range(levels):
+        sent = spark.sparkContext.broadcast(trees)
+        placed = C.cut(placed.mapInArrow(lambda batches, sent=sent, wide=wide: deal(batches, sent.value, wide), schema))
+        if level + 1 == levels or n <= 4 * leaf_rows:
+            break
+        # the largest leaves, one row each
+        big = {r[0]: r.n for r in placed.where("__home").groupBy("__leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * leaf_rows).orderBy(F.desc("n"), "__leaf").limit(max_leaves).collect()}
+        if not big:
+            break
+        share = spark.createDataFrame([(k, 512.0 / v) for k, v in big.items()], "__leaf long, share double")
+        chosen = placed.where("__home").join(F.broadcast(share), "__leaf").where(F.pmod(F.xxhash64("__fp", F.lit(level)), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("__leaf", "__fp")
+        wide = 64
+        trees, own = {}, {}
+        for r in chosen.collect():
+            own.setdefault(r[0], []).append(r[1])
+        for k, points in own.items():
+            tree = build_tree(np.unique(np.array(points[:1024], np.int64)).view(np.uint64), min(wide, -(-big[k] // leaf_rows)), radius)
+            if len(tree) > 1:
+                trees[k] = tree
+        if not trees:
+            break
 
-    placed = C.cut(classes.mapInArrow(deal, "__leaf int, __home boolean, __fp long"))
     per = placed.groupBy("__leaf").agg(
         F.ceil(F.sum(F.col("__home").cast("long")) / block).cast("int").alias("__hb"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__qb"))
-    # one row for each of at most max_leaves leaves
-    placed = placed.join(F.broadcast(per), "__leaf")
+    placed = placed.join(per, "__leaf")
     pick = lambda n, salt: F.pmod(F.xxhash64("__fp", F.lit(salt)), F.greatest(n, F.lit(1))).cast("int")
     span = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
     asks = placed.select("__leaf", "__fp", F.lit(False).alias("__home"), pick(F.col("__qb"), 1).alias("__q"), F.explode(span(F.col("__hb"))).alias("__h"))

@@ -257,6 +257,17 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_words_are_encoded_as_texts_are():
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, rng = P.path("word_bpe_49k.json"), np.random.default_rng(1)
+    tok, words = Tokenizer.from_file(path), packing.Words(path, most=40)
+    for _ in range(12):  # tables of 40 words turn over again and again
+        texts = [prose(rng, 60), "\x01 a\x01b \x01\x01", "ÀÉ ß 漢字 \u2028x\xa0y", None, "a  b\tc\n", prose(rng, 9) + " new%d" % rng.integers(0, 99)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def plain_pack(sizes, size, most):
     """The same rule over a plain list of windows: (pieces by window, in the order in which windows are done)."""
     open_, done = [], []
@@ -420,14 +431,15 @@ def test_simhash_against_brute_force(spark, docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_tree_finds_every_link(spark):
+@pytest.mark.parametrize("options", [{"leaf_rows": 16, "block": 8}, {"leaf_rows": 8, "block": 16, "max_leaves": 2}, {"leaf_rows": 4, "max_leaves": 3, "levels": 2}])
+def test_tree_finds_every_link(spark, options):
     rng = np.random.default_rng(12)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     near = base[:150] ^ (np.uint64(1) << rng.integers(0, 63, 150).astype(np.uint64))
     far = near[:80] ^ (np.uint64(3) << rng.integers(0, 60, 80).astype(np.uint64))
     points = np.unique(np.concatenate([base, near, far])).view(np.int64)
     d = spark.createDataFrame([(int(p),) for p in points], "__fp long")
-    got = {r.node: r.component for r in common.components(simhash.links(d, leaf_rows=16, block=8), "a", "b").collect()}
+    got = {r.node: r.component for r in common.components(simhash.links(d, **options), "a", "b").collect()}
     label = {int(p): int(p) for p in points}
     u = points.view(np.uint64)
     for _ in range(6):
