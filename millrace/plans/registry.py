@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from millrace.plans import accounting, evaluation, files, pools, rows, sampling, selection, streams  # noqa: F401
+    from millrace.plans import accounting, evaluation, files, pools, projections, rows, sampling, selection, streams  # noqa: F401
 
 
 load()
