@@ -168,10 +168,10 @@ def snk6_audit(t):
 
 
 @query("snk7_cycles", """
-WITH RECURSIVE e AS (SELECT c_custkey AS x, CASE WHEN c_custkey % 10 < 3 THEN c_custkey - c_custkey % 10 + (c_custkey + 1) % 3 ELSE c_custkey + 10 END AS d FROM customer), n AS (SELECT x, d FROM e WHERE d IN (SELECT x FROM e)),
+WITH RECURSIVE e AS (SELECT c_custkey AS x, CASE WHEN c_custkey % 10 < 3 THEN c_custkey - c_custkey % 10 + (c_custkey + 1) % 3 ELSE c_custkey + 200 END AS d FROM customer), n AS (SELECT x, d FROM e WHERE d IN (SELECT x FROM e)),
 r AS (SELECT x AS origin, d AS goal FROM n UNION SELECT r.origin, n.d FROM r JOIN n ON r.goal = n.x) SELECT DISTINCT origin AS id FROM r WHERE origin = goal OR goal IN (SELECT origin FROM r WHERE origin = goal)""")
 def snk7(t):
     """Dependencies that form cycles of three, and chains that end."""
     k = F.col("c_custkey")
-    d = t.customer.select(k.alias("id"), F.array(F.when(k % 10 < 3, k - k % 10 + (k + 1) % 3).otherwise(k + 10)).alias("deps"))
+    d = t.customer.select(k.alias("id"), F.array(F.when(k % 10 < 3, k - k % 10 + (k + 1) % 3).otherwise(k + 200)).alias("deps"))
     return sinks.cyclic(d, "id", "deps")

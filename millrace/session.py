@@ -19,10 +19,20 @@ def local_session(cpus: int | None = None, name: str = "millrace") -> SparkSessi
 
 
 def find_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it (same path, as on a shared file system or a
-    single machine). Where it is installed or shipped otherwise this changes nothing."""
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    """Let Python workers import this package: from where the driver has it, in local modes; elsewhere as an archive of its
+    sources that Spark hands to every executor, once for a session. Where it is installed, either changes nothing."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        root = os.path.dirname(package)
+        have = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+        if root not in have.split(os.pathsep):
+            sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    elif not getattr(sc, "_millrace_shipped", False):
+        import shutil
+        import tempfile
+
+        # the driver's own folder: Spark copies the archive from there
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace"), "zip", os.path.dirname(package), os.path.basename(package))
+        sc.addPyFile(made)
+        sc._millrace_shipped = True
