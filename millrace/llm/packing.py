@@ -21,19 +21,22 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class Words:
     """Token ids of texts, with the ids of each word kept: the tokenizer's pre-tokens never cross white space.
 
-    `table` holds the little-endian ids of at most `most` words and starts anew beyond that. A worker's later tasks
-    go on with it.
+    `table` holds the little-endian ids of words; beyond `most` it becomes the older of two, from which words that come
+    again are taken over, so that common words stay. A worker's later tasks go on with both.
     """
 
     _of: ClassVar[dict] = {}
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         if path not in self._of:
-            self._of[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.table = self._of[path]
+            self._of[path] = (Tokenizer.from_file(path), {}, {})
+        self.tokenizer, self.table, self.older = self._of[path]
         self.mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids[-1]
+        # a tokenizer that lower-cases knows one form of A-Z in each word
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.fold = all(ids(t) == ids(t.lower()) for t in (*"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "The Quick 'S I'LL E\u0301"))
         self.most = most
 
     def _learn(self, new: list[bytes]) -> None:
@@ -53,11 +56,19 @@ class Words:
                     self.table[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.table) > self.most:
-            self.table.clear()
-        table = self.table
-        own = [t.encode("utf-8", "replace").split() if t else [] for t in texts]
-        self._learn(list(set().union(*own).difference(table)))
+        table, older = self.table, self.older
+        if len(table) > self.most:
+            older.clear()
+            older.update(table)
+            table.clear()
+        raw = (t.encode("utf-8", "replace") if t else b"" for t in texts)
+        own = [(r.lower() if self.fold else r).split() for r in raw]
+        new = set().union(*own).difference(table)
+        if older:
+            again = new.intersection(older)
+            table.update(zip(again, map(older.__getitem__, again), strict=True))
+            new -= again
+        self._learn(list(new))
         return [b"".join(map(table.__getitem__, ws)) for ws in own]
 
 
