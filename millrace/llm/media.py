@@ -19,6 +19,8 @@ KEYS = ((16, 16, 4), (0, 0, 4), (8, 8, 4), (16, 16, 8), (0, 0, 8), (8, 8, 8))
 WRONG = 14
 #: Places that share a key and are paired at once; keys of more are verified in blocks.
 PAIRED = 64
+#: Keys of more places that are broadcast, 8 bytes each; more of them are joined.
+HANDED = 100_000
 
 
 def _pitch_class() -> np.ndarray:
@@ -217,6 +219,8 @@ def match(recordings: DataFrame, rec_id: str = "rec_id", audio: str = "audio", p
 
     posts = prints.mapInArrow(post, "key long, node long, at int, whole long")
     hot = C.cut(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > paired).select("key"))
+    if hot.count() <= HANDED:
+        hot = F.broadcast(hot)
     few = posts.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     many = C.cut(posts.join(hot, "key"))
     first = many.groupBy("key").agg(F.min(F.struct("node", "at", "whole")).alias("f")).select("key", F.col("f.node").alias("a"), F.col("f.at").alias("from"), F.col("f.whole").alias("w"))

@@ -37,8 +37,9 @@ def voted(x, y):
     return {int(i - j) for a, i, c in zip(k, p, u, strict=True) for b, j, d in zip(m, q, v, strict=True) if a == b and int(c ^ d).bit_count() <= media.WRONG}
 
 
-@pytest.mark.parametrize(("paired", "block"), [(64, 1024), (2, 3)])
-def test_match_against_all_pairs(spark, paired, block):
+@pytest.mark.parametrize(("paired", "block", "handed"), [(64, 1024, 100), (2, 3, 0)])
+def test_match_against_all_pairs(spark, monkeypatch, paired, block, handed):
+    monkeypatch.setattr(media, "HANDED", handed)
     rng = np.random.default_rng(6)
     sounds = [song(i) for i in range(6)]
     for i, x in enumerate(sounds[:3]):
