@@ -46,18 +46,25 @@ def manifest(selected: DataFrame, scores: list[str]) -> tuple[DataFrame, DataFra
 
 def cyclic(records: DataFrame, ident: str, dependencies: str) -> DataFrame:
     """Ids that lie on, or depend on, a cycle: what is left when ids without open dependencies are taken away in turn,
-    until none is. Dependencies on ids that aren't there are met; null ids are left out."""
+    until none is. Dependencies on ids that aren't there are met; null ids are left out.
+
+    An id with one open dependency stands and falls with it, so what depends on that id is led on to its dependency in
+    every round: rounds grow with the logarithm of such a chain's length, and with the layers of ids that have several.
+    """
     from millrace.operators.windows import shared_folder
 
     shared_folder(records)
     left = records.select(F.col(ident).alias("x"), F.explode_outer(dependencies).alias("d")).where("x is not null").distinct().checkpoint(eager=True)
-    n = left.count()
+    n = left.select("x").distinct().count()
     while n:
-        stuck = left.join(left.select(F.col("x").alias("d")).distinct(), "d", "left_semi").select("x", "d").checkpoint(eager=True)
-        m = stuck.count()
+        stuck = left.join(left.select(F.col("x").alias("d")).distinct(), "d", "left_semi").select("x", "d")
+        one = stuck.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("on")).where("n = 1").select(F.col("x").alias("d"), "on")
+        # every id that was stuck still is: an edge of the next round stands for a path of this one
+        left = stuck.join(one, "d", "left").select("x", F.coalesce("on", "d").alias("d")).distinct().checkpoint(eager=True)
+        m = left.select("x").distinct().count()
         if m == n:
             break
-        left, n = stuck, m
+        n = m
     return left.select(F.col("x").alias(ident)).distinct()
 
 

@@ -279,6 +279,26 @@ def test_cycles_and_long_chains(spark):
     assert {r.id for r in sinks.cyclic(e, "id", "deps").collect()} == {str(i) for i in range(71)}
 
 
+def test_cycles_at_the_end_of_long_chains(spark, monkeypatch):
+    """Rounds follow the logarithm of a chain; the ids are those that taking away one layer after the other leaves."""
+    import random
+
+    from millrace.sources import sinks
+
+    r = random.Random(5)
+    deps = {i: [i + 1] for i in range(400)} | {i: [i + 1] for i in range(1000, 1400)} | {1400: [1398], 2000: [2000], 2001: [2000, 9999], 2002: [9999], 2003: []}
+    deps |= {i: [3000 + r.randrange(60) for _ in range(r.randrange(4))] for i in range(3000, 3060)}
+    left = {x: set(d) for x, d in deps.items()}
+    while gone := [x for x, d in left.items() if not d & left.keys()]:
+        for x in gone:
+            del left[x]
+    d = spark.createDataFrame(list(deps.items()), "id long, deps array<long>")
+    rounds, kept = [], type(d).checkpoint
+    monkeypatch.setattr(type(d), "checkpoint", lambda self, *a, **b: rounds.append(1) or kept(self, *a, **b))
+    assert {x.id for x in sinks.cyclic(d, "id", "deps").collect()} == set(left)
+    assert 1000 in left and 399 not in left and len(rounds) <= 16
+
+
 def test_chained_rows(spark):
     rows = [(j, i, f"body {i}", None) for j in ("a", "b") for i in range(40)]
     d = spark.createDataFrame(rows, "j string, i long, body string, extra string").repartition(3)
