@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from typing import ClassVar
 
@@ -15,6 +17,15 @@ from millrace.llm import common as C
 
 #: A control character as a word: one token that stands between words encoded together.
 MARK = b"\x01"
+#: The pre-tokens of a tokenizer that lower-cases and cuts words by this pattern; _CUT is the same over plain characters.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+_CUT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+").findall
+#: Plain: characters of ASCII, Latin letters with accents, and the two marks of Spanish; NFC leaves them as they are.
+_PLAIN = re.compile(f"[!-~\xa1\xbf{_LETTERS}\xc0-\xd6\xd8-\xde]*").fullmatch
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Bytes as the characters that a byte-level model has for them.
+_BYTES = {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -22,7 +33,8 @@ class Words:
     """Token ids of texts, with the ids of each word kept: the tokenizer's pre-tokens never cross white space.
 
     `table` holds the little-endian ids of words; beyond `most` it becomes the older of two, from which words that come
-    again are taken over, so that common words stay. A worker's later tasks go on with both.
+    again are taken over, so that common words stay. A worker's later tasks go on with both. Of a tokenizer whose rules
+    are those of `_PATTERN`, plain words are cut here, and each pre-token goes to its model by itself, once.
     """
 
     _of: ClassVar[dict] = {}
@@ -31,17 +43,48 @@ class Words:
         from tokenizers import Tokenizer
 
         if path not in self._of:
-            self._of[path] = (Tokenizer.from_file(path), {}, {})
-        self.tokenizer, self.table, self.older = self._of[path]
+            self._of[path] = (Tokenizer.from_file(path), {}, {}, {})
+        self.tokenizer, self.table, self.older, self.pieces = self._of[path]
+        self.model = self.tokenizer.model if self._cuts_by_pattern() else None
         self.mark = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids[-1]
         # a tokenizer that lower-cases knows one form of A-Z in each word
         ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.fold = all(ids(t) == ids(t.lower()) for t in (*"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "The Quick 'S I'LL E\u0301"))
         self.most = most
 
+    def _cuts_by_pattern(self) -> bool:
+        """Are the tokenizer's rules those that `_plain` follows?"""
+        rules = json.loads(self.tokenizer.to_str())
+        model = rules["model"]
+        return (
+            rules["normalizer"] == {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+            and rules["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+            and model["type"] == "BPE" and not model["dropout"] and all(t["content"].startswith("<|") for t in rules["added_tokens"])
+        )
+
+    def _plain(self, new: list[bytes]) -> list[bytes]:
+        """Learn the plain words among new ones; returns the rest. What could hold an added token isn't plain."""
+        pieces, model, rest = self.pieces, self.model.tokenize, []
+        if len(pieces) > self.most:
+            pieces.clear()
+        for w in new:
+            s = w.decode("utf-8", "replace").lower()
+            if b"<|" in w or not _PLAIN(s):
+                rest.append(w)
+                continue
+            own = [s] if s.isalpha() else _CUT(s)
+            for p in own:
+                if p not in pieces:
+                    shown = p if p.isascii() else p.encode().decode("latin-1").translate(_BYTES)
+                    pieces[p] = np.array([t.id for t in model(shown)], "<u4").tobytes()
+            self.table[w] = b"".join([pieces[p] for p in own])
+        return rest
+
     def _learn(self, new: list[bytes]) -> None:
-        """Ids of new words. Many are encoded in one text, between marks that are a token of their own; a word that
+        """Ids of new words. Other than plain ones, many are encoded in one text, between marks that are a token of their own; a word that
         holds the mark, or a text whose marks don't come back as sent, is encoded by itself."""
+        if self.model is not None:
+            new = self._plain(new)
         for i in range(0, len(new), 2048):
             part = [w for w in new[i : i + 2048] if MARK not in w]
             text = (b" " + MARK + b" ").join(part).decode("utf-8", "replace")

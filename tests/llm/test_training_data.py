@@ -268,6 +268,23 @@ def test_words_are_encoded_as_texts_are():
         assert [np.frombuffer(x, "<u4").tolist() for x in words.encode(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_plain_words_go_to_the_model_alone(monkeypatch):
+    """Pre-tokens of plain words are cut as the tokenizer cuts them; only other words go through the whole tokenizer."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok, words = Tokenizer.from_file(path), packing.Words(path)
+    plain = ["Don't 'twas 'S I'LL'd' ''re x'", "a1b22c 3,14 (thn)*** the,&&& !?", "\xc9t\xe9 l'\xeatre stra\xdfe \xbfqu\xe9? \xa1\xd1o! na\xefve1\xff"]
+    odd = ["x<|y <|endoftext|> a<|startoftext|>b", "\xd7 \xf7 \xaa \xba \xb5 \xb2 \xbd \xa0 x\x85y", "\u0130 \u03a3\u03a3 e\u0301 \u212a \u212b \u1e9e \ufb01 a\u200bb \u6f22\u5b57 \x01 \x7f a\x00b \u0661"]
+    for t in plain + odd:
+        assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+    words.table.clear(), words.older.clear(), words.pieces.clear()
+    monkeypatch.setattr(words, "tokenizer", None)
+    for t in plain:
+        assert np.frombuffer(words.encode([t])[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def plain_pack(sizes, size, most):
     """The same rule over a plain list of windows: (pieces by window, in the order in which windows are done)."""
     open_, done = [], []
