@@ -410,6 +410,33 @@ def test_matches_against_brute_force(spark, empty):
 # 8. quality
 
 
+def test_quality_learns_from_every_labelled_row(spark):
+    """Weights and cut are those of all pairs of all labelled rows, more of each class than the old bound of 2000."""
+    rng = np.random.default_rng(3)
+    texts = [prose(rng, int(rng.integers(3, 12))) + ("!!" if rng.random() < 0.2 + 0.5 * (i % 2) else "") for i in range(6400)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    y = spark.createDataFrame([(i, i % 2) for i in range(6400)] + [(None, 1), (9, None), (99999, 0)], "doc_id long, quality int")
+    rows = quality.labelled_features(d, y, "quality", lambda i: common.fold_of(i, 3) == 1)
+    kept = [i for i in range(6400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted((r.id, r.y) for r in rows.collect()) == [(i, i % 2) for i in kept] and len(kept) > 4000
+    r = quality.fit(rows, None)
+    x, label = np.array([quality.features(texts[i]) for i in kept]), np.array(kept) % 2
+    assert np.allclose(r.mean, x.mean(0)) and np.allclose(r.scale, x.std(0) + 1e-6)
+    # the mean over blocks' pairs is near that over all pairs, whose gradient is nought at the true weights
+    got = quality.pair_terms(np.clip((x - r.mean) / r.scale, -4, 4), label, r.w)
+    assert np.abs(got[2 : 2 + len(r.w)] / got[0] + 1e-3 * r.w).max() < 0.02
+    s, k = np.sort(r.raw(x)), len(x)
+    at, share = int(np.ceil(k * np.mean(label == 0))) - 1, np.mean(label == 0)
+    assert s[max(0, at - k // 50 - 1)] <= r.cut <= s[at + k // 50 + 2] and abs(np.mean(s < r.cut) - share) < 0.03
+    few = rows.where("id < 300")
+    r = quality.fit(few, None)  # one block
+    x, label = x[np.array(kept) < 300], label[np.array(kept) < 300]
+    got = quality.pair_terms(np.clip((x - r.mean) / r.scale, -4, 4), label, r.w)
+    assert np.abs(got[2 : 2 + len(r.w)] / got[0] + 1e-3 * r.w).max() < 1e-6
+    assert quality.fit(few.where("y = 1"), None).raw(x[:1])[0] > quality.fit(few.where("y = 1"), None).cut
+    assert quality.fit(few.limit(0), None).probability(x[:1])[0] < 0.5
+
+
 def test_quality(spark, docs, empty):
     rng = np.random.default_rng(3)
     texts = [prose(rng, 50) if i % 4 else " ".join(w.upper() + "!!" for w in rng.choice(VOCAB, 30)) for i in range(200)]
